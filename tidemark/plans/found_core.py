@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.normal import normal_domain, set_hash, token_set, utc_text
+from tidemark.operators import profile, schema_drift, shred
 from tidemark.operators.history import merge_history, version_history
 from tidemark.operators.snapshot_diff import snapshot_changes
-from tidemark.tables import table
+from tidemark.tables import spread, table
 
 #: p3_merged takes what was ingested before this instant as the stored history, the rest as one batch.
 MERGE_CUT = "2026-02-15 00:00:00"
@@ -82,5 +83,112 @@ union all select no, d, 'llms_txt' from pairs where was is not null and l is dis
 union all select no, d, 'probe_version' from pairs where was is not null and p is distinct from bp
 """
 
-QUERIES = {"p3_found": p3_found, "p3_merged": p3_merged, "p7_found": p7_found}
-ORACLE = {"p3_found": P3_SQL, "p3_merged": P3_SQL, "p7_found": P7_SQL}
+STATS_RULES = {
+    "counts": ("observed", "blocking_any_tier1"),
+    "flag": "suspect",
+    "texts": "suspect_reasons",
+    "pattern": r"[a-z]+:-?[0-9]+(\.[0-9]+)?",
+}
+
+
+def _rules() -> profile.Rules:
+    some = F.size("suspect_reasons") > 0
+    return profile.Rules(
+        **STATS_RULES,
+        ranges={
+            "observed": (F.col("observed") < 0) | (F.col("observed") > F.col("total_domains")),
+            "blocking_any_tier1": (F.col("blocking_any_tier1") < 0) | (F.col("blocking_any_tier1") > F.col("observed")),
+        },
+        consistency=(F.col("suspect") & ~F.coalesce(some, F.lit(False))) | (~F.col("suspect") & F.coalesce(some, F.lit(False))),
+    )
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with a load, or differs from the load before."""
+    return profile.findings(table(spark, sf_dir, "daily_stats"), ["feed"], "load_no", _rules())
+
+
+def p4_discrimination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well a classifier tells a load from the one before, and each column's part in it."""
+    return profile.profile(table(spark, sf_dir, "daily_stats"), ["feed"], "load_no", _rules())[2]
+
+
+P4_SQL = """
+with r as (select distinct * from daily_stats),
+b as (select feed, load_no, count(*) as n,
+  count(*) - count(observed) as u1, count(*) - count(blocking_any_tier1) as u2, count(*) - count(suspect) as u3, count(*) - count(suspect_reasons) as u4,
+  min(observed) as lo1, max(observed) as hi1, min(blocking_any_tier1) as lo2, max(blocking_any_tier1) as hi2,
+  median(observed) as m1, median(blocking_any_tier1) as m2, count(*) filter (where suspect) as t, count(suspect) as k,
+  bool_or(observed < 0 or observed > total_domains) as bad1, bool_or(blocking_any_tier1 < 0 or blocking_any_tier1 > observed) as bad2,
+  bool_or(len(list_filter(suspect_reasons, lambda x: not regexp_full_match(x, '[a-z]+:-?[0-9]+(\\.[0-9]+)?'))) > 0) as badp,
+  bool_or((suspect and coalesce(len(suspect_reasons), 0) = 0) or (not suspect and coalesce(len(suspect_reasons), 0) > 0)) as badc
+  from r group by feed, load_no),
+p as (select b.*, a.n as pn, a.u1 as p1, a.u2 as p2, a.u3 as p3, a.u4 as p4, a.lo1 as plo1, a.hi1 as phi1, a.lo2 as plo2, a.hi2 as phi2, a.m1 as pm1, a.m2 as pm2, a.t as pt, a.k as pk
+  from b join b a on a.feed = b.feed and a.load_no = b.load_no - 1)
+select feed, load_no, 'observed' as column_name, 'value_range' as check_name from b where bad1
+union all select feed, load_no, 'blocking_any_tier1', 'value_range' from b where bad2
+union all select feed, load_no, 'suspect_reasons', 'pattern' from b where badp
+union all select feed, load_no, 'suspect', 'consistency' from b where badc
+union all select feed, load_no, 'observed', 'null_rate' from p where abs(u1 * pn - p1 * n) * 10 > n * pn
+union all select feed, load_no, 'blocking_any_tier1', 'null_rate' from p where abs(u2 * pn - p2 * n) * 10 > n * pn
+union all select feed, load_no, 'suspect', 'null_rate' from p where abs(u3 * pn - p3 * n) * 10 > n * pn
+union all select feed, load_no, 'suspect_reasons', 'null_rate' from p where abs(u4 * pn - p4 * n) * 10 > n * pn
+union all select feed, load_no, 'observed', 'constant' from p where lo1 = hi1 and plo1 < phi1
+union all select feed, load_no, 'blocking_any_tier1', 'constant' from p where lo2 = hi2 and plo2 < phi2
+union all select feed, load_no, 'observed', 'shift' from p where abs(m1 - pm1) * 5 > abs(pm1)
+union all select feed, load_no, 'blocking_any_tier1', 'shift' from p where abs(m2 - pm2) * 5 > abs(pm2)
+union all select feed, load_no, 'suspect', 'shift' from p where k > 0 and pk > 0 and abs(t * pk - pt * k) * 5 > k * pk
+"""
+
+
+def _feed_leaves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    lines = table(spark, sf_dir, "feed_lines").select("feed", "file_no", "line_no", "payload")
+    leaves = schema_drift.read_leaves(spread(lines), "feed", "file_no", "line_no", "payload", ["day", "domain"])
+    return leaves, lines.select("feed", "file_no").distinct()
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields added, removed, renamed or retyped between consecutive files of a feed."""
+    return schema_drift.schema_changes(*_feed_leaves(spark, sf_dir)).drop("score")
+
+
+def p5_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All files of all feeds as one consistent table."""
+    leaves, files = _feed_leaves(spark, sf_dir)
+    t = schema_drift.unite(leaves, schema_drift.schema_changes(leaves, files))
+    return t.select("feed", "file_no", "line_no", F.to_json("fields").alias("fields"), F.to_json("kinds").alias("kinds"))
+
+
+ARRAYS = ["robots.namedTokens", "robots.groups.agents", "robots.groups.disallow", "robots.groups.allow", "structured.jsonLdTypes", "structured.nodes.types", "content.landmarks"]
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements of the lists below obs, with the places of their record, parent and own."""
+    lines = spread(table(spark, sf_dir, "domains_jsonl").select("record_id", "raw"))
+    leaf = [f"obs.{p}" for p in ARRAYS]
+    nodes = shred.shred(lines, "record_id", "raw", arrays=["obs", "obs.robots.groups", "obs.structured.nodes", *leaf], texts=["obs"], paths=leaf)
+    up = shred.parent_label(F.col("label"))  # the list; the node before it is the group, node or observation
+    nested = F.col("path").rlike(r"^obs\.(robots\.groups|structured\.nodes)\.")
+    return nodes.where("element and kind <> 'null'").select(
+        "record_id",
+        F.col("label")[1].alias("obs_no"),
+        F.regexp_replace("path", r"^obs\.", "").alias("path"),
+        F.when(nested, F.element_at(up, -2)).otherwise(0).alias("parent_pos"),
+        F.element_at("label", -1).alias("pos"),
+        "value",
+    )
+
+
+def p6_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat tables a record gives: for each schema path its nodes, parents, records and empty values."""
+    lines = spread(table(spark, sf_dir, "domains_jsonl").select("record_id", "raw"))
+    nodes = shred.shred(lines, "record_id", "raw", arrays=["obs", "obs.robots.groups", "obs.structured.nodes", *[f"obs.{p}" for p in ARRAYS]], texts=["obs"])
+    t = nodes.withColumn("parent", shred.parent_label(F.col("label")))
+    return t.groupBy("path").agg(F.count(F.lit(1)).alias("nodes"), F.count_distinct("record_id", "parent").alias("parents"), F.count_distinct("record_id").alias("records"), F.count_if(F.col("kind") == "null").alias("nulls"))
+
+
+QUERIES = {
+    "p3_found": p3_found, "p3_merged": p3_merged, "p4_found": p4_found, "p4_discrimination": p4_discrimination, "p5_found": p5_found, "p5_table": p5_table,
+    "p6_found": p6_found, "p6_tables": p6_tables, "p7_found": p7_found,
+}
+ORACLE = {"p3_found": P3_SQL, "p3_merged": P3_SQL, "p4_found": P4_SQL, "p7_found": P7_SQL}
