@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, req_sketch, spans
+from tidemark.functions.normal import plain_label
+from tidemark.llm import bpe, mixing, req_sketch, spans
 from tidemark.llm.top_groups import top_n
-from tidemark.tables import spread, table
+from tidemark.tables import checkpoint, spread, table
 
 TOP = 5
 MIN_VALUES = 25
@@ -123,5 +124,45 @@ def p10_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_amount(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text").withColumnRenamed("doc", "doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_days": p2_days, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p10_found": p10_found, "p10_amount": p10_amount}
+def _sized_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id``, ``source`` (normalised), ``tokens`` of every document that has a source; repeated rows once."""
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", plain_label(F.col("source")).alias("source"), "text").where("source is not null"))
+    return d.select("doc_id", "source", bpe.count_tokens(F.col("text")).alias("tokens")).distinct()
+
+
+def _sizes(docs: DataFrame) -> DataFrame:
+    return docs.groupBy("source").agg(F.sum("tokens").alias("available"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets that cannot be met without repeating a source beyond its cap."""
+    plan = mixing.plan_mix(_sizes(_sized_documents(spark, sf_dir)), table(spark, sf_dir, "mix_targets"))
+    return plan.where("over_cap").select("mix_id", "source")
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixes: which documents each takes, and how often."""
+    targets = table(spark, sf_dir, "mix_targets")
+    docs = checkpoint(_sized_documents(spark, sf_dir))
+    return mixing.realise(docs, mixing.plan_mix(_sizes(docs), targets), targets)
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target, planned and actual share of every source in every mix, with the repetitions made."""
+    targets = table(spark, sf_dir, "mix_targets")
+    docs = checkpoint(_sized_documents(spark, sf_dir))
+    plan = mixing.plan_mix(_sizes(docs), targets)
+    got = mixing.realise(docs, plan, targets).groupBy("mix_id", "source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("actual"), F.max("repeats").alias("repeats"))
+    rows = plan.join(got.withColumnRenamed("source", "label"), ["mix_id", "label"], "left")
+    total = Window.partitionBy("mix_id")
+    share = lambda c: F.coalesce(F.try_divide(F.col(c), F.sum(c).over(total)), F.lit(0.0))
+    return rows.withColumn("actual", F.coalesce("actual", F.lit(0))).select(
+        "mix_id", "source", share("wanted").alias("target_share"), share("planned").alias("planned_share"), share("actual").alias("actual_share"), "wanted", "planned", "actual", F.coalesce("repeats", F.lit(0)).alias("repeats"), "max_repeats", "exponent"
+    )
+
+
+QUERIES = {
+    "p1_found": p1_found, "p2_found": p2_found, "p2_days": p2_days, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_found": p9_found, "p9_mix": p9_mix, "p9_shares": p9_shares,
+    "p10_found": p10_found, "p10_amount": p10_amount,
+}
 ORACLE = {"p1_found": P1_SQL, "p2_found": P2_SQL}
