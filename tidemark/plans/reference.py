@@ -6,8 +6,12 @@ opted-out sites left out; ``ranks`` the latest scored row of every domain, for i
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from tidemark.functions import scoring as s
 from tidemark.plans.sqlkit import duck_text, query
+from tidemark.tables import checkpoint
 
 MIN_COHORT = 25
 TOKEN = "OrvexBot"
@@ -55,6 +59,7 @@ TEXTS["score_fix_list"] = (
     f"with {SITES}, {LINES_NOW}, l as (select site, line, points, earned, floor((points - earned) * 10 + 0.5) / 10 as gap from ({_score_lines().split(LINES_NOW)[1]}) x where observable and earned < points)"
     " select site, line, gap, nth from (select *, row_number() over (partition by site order by gap desc, line) as nth from l) y where nth <= 8"
 )
+_FIX_FROM = _score_lines().split(LINES_NOW)[1]
 TEXTS["score_rescore_check"] = f"{FULL} select count(*) as n, count_if(s.total = d.score.total) as same, count_if(s.total is distinct from d.score.total) as different from scored s join (select distinct obs_id, row_id, score from @domain_rows) d on s.obs_id = d.obs_id"
 TEXTS["stub_and_trust"] = f"with {SITES} select site, {s.STUB} as stub, {s.TRUSTED} as trusted from sites"
 TEXTS["facets"] = f"""{FULL}, roles as (select t.site, array_join(array_sort(array_distinct(collect_list(a.agent_role))), '|') as roles, count(distinct case when a.agent_role = 'assistant' then a.token end) as assistants
@@ -108,7 +113,7 @@ TEXTS["bot_shares"] = f"""with {SITES}, e as (select explode({s.distinct_lower('
 TEXTS["award_count"] = f"{FULL} select count_if(grade = 'A') as ready, count_if(grade in ('A', 'B')) as embeddable, count(total) as observed from scored"
 TEXTS["quadrant"] = f"""with {SITES}, q as (select {s.flag(f"array_contains({s.distinct_lower('tier1_blocked')}, '{TOKEN.lower()}')")} as denied, {s.flag('cloaking.tested')} as tested, coalesce(cloaking.bot_status, 0) as status from sites where {s.flag('reachable')})
   select count_if(not denied and tested and status in {s.listed(s.GAP_REFUSED)}) as gap, count_if(not denied and tested and status > 0 and status < 400) as open_honest, count_if(denied and status >= 400) as blocked_honest, count_if(denied and tested and status > 0 and status < 400) as declared_only, count(*) as n from q"""
-TEXTS["snapshot_day"] = "select max(observed_at) as last_seen, day_of(max(observed_at)) as snapshot_day from @observations"
+TEXTS["snapshot_day"] = "select max(observed_at) as last_seen, cast(max(observed_at) as date) as snapshot_day from @observations"
 TEXTS["daily_rollup"] = f"""{PAST} select day_of(observed_at) as stat_day, count(*) as total_domains, count(total) as observed, floor(avg(total) * 100 + 0.5) / 100 as mean_score, count_if(total is not null and {s.size_of('tier1_blocked')} > 0) as blocking_any,
   count_if(total is not null and {s.size_of('tier1_blocked')} >= {s.TIER1_TOKENS}) as blocking_all, count_if(total is not null and {s.flag('llms_txt.present')}) as llms_txt, count_if(total is not null and {s.flag('agents_md.present')}) as agents_md,
   count_if(http_status = 402) as payment_required, count_if(total is not null and {s.flag('cloaking.detected')}) as refused, case when count(signals) > 0 then count_if({s.flag('signals.has_author')}) end as authors from totalled group by 1"""
@@ -145,17 +150,17 @@ TEXTS["change_events"] = f"""{PAST}, p as (select site, observed_at, vantage, pr
 TEXTS["change_counts"] = f"select day_of(observed_at) as stat_day, kind, count(*) as n from ({TEXTS['change_events']}) c group by 1, 2"
 TEXTS["change_feed"] = f"select site, observed_at, kind, nth from (select *, row_number() over (order by observed_at desc, site, kind) as nth from ({TEXTS['change_events']}) c) x where nth <= 300"
 TEXTS["month_changes"] = f"select site, observed_at, kind from ({TEXTS['change_events']}) c where month_of(observed_at) = '2026-02' and kind in ('access', 'surface')"
-TEXTS["access_delta"] = f"""with {HISTORY}, p as (select site, observed_at, coalesce(array_sort({s.distinct_lower('tier1_blocked')}), array()) as now, coalesce(lag(array_sort({s.distinct_lower('tier1_blocked')})) over (partition by site order by observed_at), array()) as was from sites where {s.flag('reachable')})
+TEXTS["access_delta"] = f"""with {HISTORY}, p as (select site, observed_at, coalesce(array_sort({s.distinct_lower('tier1_blocked')}), empty_list()) as now, coalesce(lag(array_sort({s.distinct_lower('tier1_blocked')})) over (partition by site order by observed_at), empty_list()) as was from sites where {s.flag('reachable')})
   select site, observed_at, array_join(filter(now, x -> not array_contains(was, x)), ',') as newly_blocked, array_join(filter(was, x -> not array_contains(now, x)), ',') as newly_allowed from p where now <> was"""
 TEXTS["failure_runs"] = f"""with {HISTORY}, f as (select site, observed_at, {s.flag('reachable')} as up, sum(case when {s.flag('reachable')} then 1 else 0 end) over (partition by site order by observed_at) as run from sites),
   c as (select site, observed_at, up, case when up then 0 else sum(case when up then 0 else 1 end) over (partition by site, run order by observed_at) end as failures from f)
   select site, observed_at, failures, failures >= 3 as demoted from c where not up"""
-TEXTS["latest_trusted_day"] = f"with {SERIES} select feed, max(stat_day) as stat_day, max_by(observed, stat_day) as observed from series where not coalesce(suspect, false) group by feed"
+TEXTS["latest_trusted_day"] = f"with {SERIES} select feed, max(stat_day) as stat_day, max_by(observed, stat_day) filter (where observed is not null) as observed from series where not coalesce(suspect, false) group by feed"
 TEXTS["day_to_day"] = f"with {SERIES} select feed, stat_day, observed - lag(observed) over h as observed_delta, total_domains - lag(total_domains) over h as total_delta, mean_score - lag(mean_score) over h as mean_delta from series window h as (partition by feed order by stat_day)"
 TEXTS["run_verdicts"] = f"""with {SERIES}, p as (select *, lag(observed) over h as b_observed, lag(total_domains) over h as b_total, lag(mean_score) over h as b_mean, lag(attempted) over h as b_attempted, lag(succeeded) over h as b_succeeded from series window h as (partition by feed order by stat_day))
   select feed, stat_day, coalesce(observed = 0, false) as broken, coalesce(b_attempted > 0 and b_total > 0 and b_observed > 0 and (coalesce(b_succeeded, 0) / b_attempted - case when attempted > 0 then coalesce(succeeded, 0) / attempted else 0 end) * 100 > 15, false) as reachability_fell,
   coalesce(abs(observed - b_observed) / greatest(1, b_observed) > 0.2, false) as population_moved, coalesce(b_total > 0 and (b_total - total_domains) / nullif(b_total, 0) > 0.1, false) as shrank, coalesce(abs(mean_score - b_mean) > 5, false) as mean_moved from p"""
-TEXTS["month_report"] = f"""with {SERIES}, m as (select feed, month_of(stat_day) as month, count(*) as days, count_if(coalesce(suspect, false)) as suspect_days, min_by(observed, stat_day) as first_observed, max_by(observed, stat_day) as last_observed, min_by(blocking_any_tier1, stat_day) as first_blocking, max_by(blocking_any_tier1, stat_day) as last_blocking
+TEXTS["month_report"] = f"""with {SERIES}, m as (select feed, month_of(stat_day) as month, count(*) as days, count_if(coalesce(suspect, false)) as suspect_days, min_by(observed, stat_day) filter (where observed is not null) as first_observed, max_by(observed, stat_day) filter (where observed is not null) as last_observed, min_by(blocking_any_tier1, stat_day) filter (where blocking_any_tier1 is not null) as first_blocking, max_by(blocking_any_tier1, stat_day) filter (where blocking_any_tier1 is not null) as last_blocking
   from series group by 1, 2) select *, last_observed - first_observed as observed_delta, case when last_observed > first_observed then 'rose' when last_observed < first_observed then 'fell' else 'unchanged' end as movement from m"""
 TEXTS["sealed_month"] = f"with {SERIES} select feed, month_of(stat_day) as month, count(*) as days, sum(observed) as observed, max(stat_day) as last_day from series where not coalesce(suspect, false) group by 1, 2"
 TEXTS["unsealed_months"] = f"with {SERIES}, m as (select distinct feed, month_of(stat_day) as month from series), done as (select feed, month from (select feed, month, row_number() over (partition by feed order by month) as nth from m) x where nth = 1) select feed, month from m except select feed, month from done"
@@ -182,8 +187,32 @@ TEXTS["domain_parts"] = f"with d as (select distinct {_NORMAL} as site from @obs
 TEXTS["final_host"] = "select obs_id, lower(regexp_extract(final_url, '^https?://([^/:]+)', 1)) as host, final_url like 'https://%' as secure, regexp_like(final_url, '^https?://(127[.]|10[.]|192[.]168[.]|169[.]254[.]|localhost)') as private_target from @observations where final_url is not null"
 TEXTS["security_flags"] = f"with {SITES} select count(*) as n, count_if({s.flag('security.hsts')}) as hsts, count_if({s.flag('security.csp')}) as csp, count_if({s.flag('security.x_content_type_options')}) as nosniff, count_if({s.flag('https')}) as https from sites"
 
+#: Where Spark has a better form than the text that both engines share.
+SPARK_TEXTS = {
+    "score_lines": f"with {SITES}, {LINES_NOW} select site, stack({len(s.LINES)}, "
+    + ", ".join(f"'{n}', '{s.BAND_NAMES[b]}', {m}, e{i}, a{i}" for i, (n, b, m, _, _) in enumerate(s.LINES))
+    + ") as (line, band, points, earned, observable) from lined",
+}
+SPARK_TEXTS["score_fix_list"] = TEXTS["score_fix_list"].replace(_FIX_FROM, SPARK_TEXTS["score_lines"].split(LINES_NOW)[1])
+
 _RANGE10 = ("sequence(0, 9)", "range(0, 10)")
 QUERIES, ORACLE = {}, {}
+
+
+def peer_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each comparable site against the medians of its platform and its network, where those have enough sites."""
+    rows = checkpoint(query(f"{FULL} select site, total, platform, network from scored where {COMPARABLE}")(spark, sf_dir))
+
+    def median_of(key: str) -> DataFrame:
+        mid = F.floor(F.median("total") * 10 + 0.5) / 10
+        return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"), mid.alias(f"{key}_median")).where(F.col("n") >= MIN_COHORT).drop("n")
+
+    both = rows.join(median_of("platform"), "platform", "left").join(median_of("network"), "network", "left")
+    delta = lambda k: (F.floor((F.col("total") - F.col(f"{k}_median")) * 10 + 0.5) / 10).alias(f"{k}_delta")
+    behind = F.coalesce(F.col("total") < F.col("platform_median"), F.lit(False)) | F.coalesce(F.col("total") < F.col("network_median"), F.lit(False))
+    return both.select("site", "total", "platform_median", "network_median", delta("platform"), delta("network"), behind.alias("behind_any"))
+
 for _name, _text in TEXTS.items():
-    QUERIES[_name] = query(_text.replace("{range10}", _RANGE10[0]))
+    QUERIES[_name] = query(SPARK_TEXTS.get(_name, _text).replace("{range10}", _RANGE10[0]))
     ORACLE[_name] = duck_text(_text.replace("{range10}", _RANGE10[1]))
+QUERIES["peer_delta"] = peer_delta

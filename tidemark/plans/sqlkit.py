@@ -32,14 +32,15 @@ DIALECT = (
     (r"\bas string\)", "as varchar)"),
     (r"\bcollect_list\(", "list("),
     (r"\bstruct_of\(([^()]+)\)", r"row(\1)"),
-    (r"\bapprox_count_distinct\(", "approx_count_distinct("),
+    (r"\bempty_list\(\)", "[]"),
 )
-SPARK = ((r"\bmonth_of\(([^()]+)\)", r"date_format(\1, 'yyyy-MM')"), (r"\bday_of\(([^()]+)\)", r"cast(\1 as date)"), (r"\bseconds_of\(([^()]+)\)", r"unix_timestamp(\1)"), (r"\bstruct_of\(([^()]+)\)", r"struct(\1)"))
+SPARK = ((r"\bempty_list\(\)", "cast(array() as array<string>)"), (r"\bmonth_of\(([^()]+)\)", r"date_format(\1, 'yyyy-MM')"), (r"\bday_of\(([^()]+)\)", r"cast(\1 as date)"), (r"\bseconds_of\(([^()]+)\)", r"unix_timestamp(\1)"), (r"\bstruct_of\(([^()]+)\)", r"struct(\1)"))
 
 
 def spark_text(sql: str) -> str:
     for a, b in SPARK:
         sql = re.sub(a, b, sql)
+    sql = sql.replace("{", "{{").replace("}", "}}")
     return re.sub(r"@(\w+)", r"{\1}", sql)
 
 
