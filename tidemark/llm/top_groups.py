@@ -33,18 +33,20 @@ def top_n(df: DataFrame, group: Sequence[str], order: Sequence[tuple[str, bool]]
     """
     if "pos" in df.columns:
         raise ValueError("a column is already named pos")
-    keys = [f"__g{i}" for i in range(len(group))]
-    parts = [x for name, desc in order for x in _ascending(F.col(name), desc)]
+    inner = {c: f"c{i}" for i, c in enumerate(df.columns)}  # so that no input name clashes with one used here
+    own = df.toDF(*inner.values())
+    keys = [f"g{i}" for i in range(len(group))]
+    parts = [x for name, desc in order for x in _ascending(F.col(inner[name]), desc)]
     names = [f"s{i}" for i in range(len(parts))] + ["h"]
-    whole = F.struct(*[p.alias(a) for p, a in zip([*parts, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if "map<" not in df.schema[c].dataType.simpleString()])], names)])
-    rows = df.withColumn("__o", whole).withColumns(dict(zip(keys, [F.col(g) for g in group])))
-    slim = rows.select(*keys, "__o", F.spark_partition_id().alias("__part"))
-    local = Window.partitionBy("__part", *keys).orderBy("__o")
-    bounds = slim.withColumn("__n", F.row_number().over(local)).where(F.col("__n") <= n).where(F.col("__n") == n)
-    bound = bounds.groupBy(*[F.col(k).alias(f"__b{k}") for k in keys]).agg(F.min("__o").alias("__bound"))
+    hashed = [c for c in own.columns if "map<" not in own.schema[c].dataType.simpleString()]
+    whole = F.struct(*[p.alias(a) for p, a in zip([*parts, F.xxhash64(*hashed)], names)])
+    rows = own.withColumns({"o": whole, **{k: F.col(inner[g]) for k, g in zip(keys, group)}})
+    local = Window.partitionBy("part", *keys).orderBy("o")
+    bounds = rows.select(*keys, "o", F.spark_partition_id().alias("part")).withColumn("n", F.row_number().over(local)).where(F.col("n") <= n).where(F.col("n") == n)
+    bound = bounds.groupBy(*[F.col(k).alias(f"b{k}") for k in keys]).agg(F.min("o").alias("bound"))
     on = F.lit(True)
     for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"__b{k}"))
-    kept = rows.join(bound, on, "left").where("__bound is null or __o <= __bound")
-    ranked = kept.withColumn("pos", F.row_number().over(Window.partitionBy(*keys).orderBy("__o"))).where(F.col("pos") <= n)
-    return ranked.select(*df.columns, "pos")
+        on = on & F.col(k).eqNullSafe(F.col(f"b{k}"))
+    kept = rows.join(bound, on, "left").where("bound is null or o <= bound").select(*own.columns, *keys, "o")
+    ranked = kept.withColumn("pos", F.row_number().over(Window.partitionBy(*keys).orderBy("o"))).where(F.col("pos") <= n)
+    return ranked.select(*[F.col(i).alias(c) for c, i in inner.items()], "pos")
