@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.tables import checkpoint
+
 MIN_RUN = 200
 GRAM = 32
 WINDOW = 84
@@ -199,6 +201,7 @@ def repeated_paths(docs: DataFrame, min_run: int) -> DataFrame:
     held = edges.groupBy("edge").agg(
         F.min("doc").alias("d0"), F.max("doc").alias("d1"), F.min("prev").alias("p0"), F.max("prev").alias("p1"), F.min("next").alias("n0"), F.max("next").alias("n1")
     ).where("d0 < d1")
+    held = checkpoint(held.select("edge", "p0", "p1", "n0", "n1"))  # few; read three times below
     one_next = held.where("n0 = n1 and n0 <> 0").select(F.col("edge"), F.col("n0").alias("to"))
     one_prev = held.where("p0 = p1 and p0 <> 0").select(F.col("edge").alias("to"), F.col("p0").alias("edge"))
     links = one_next.join(one_prev, ["edge", "to"]).select("edge", F.lit(True).alias("linked"))
@@ -210,7 +213,8 @@ def _windows(df: DataFrame, doc_id: str, text: str, min_run: int, every: bool) -
     _check(min_run)
     docs = _texts(df, doc_id, text, min_run)
     marked = docs.join(repeated_paths(docs, min_run), "doc").select("doc", "text", "edges")
-    return marked.mapInArrow(_window_rows(min_run, every), "k1 bigint, k2 bigint, doc bigint" + ", pos bigint" * every)
+    rows = marked.mapInArrow(_window_rows(min_run, every), "k1 bigint, k2 bigint, doc bigint" + ", pos bigint" * every)
+    return checkpoint(rows)  # of repeated stretches only; read twice
 
 
 def shared_classes(df: DataFrame, doc_id: str, text: str, min_run: int = MIN_RUN) -> DataFrame:
