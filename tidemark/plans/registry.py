@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def modules() -> list:
-    from tidemark.plans import extended, found_core, reference
+    from tidemark.plans import extended, found_core, pipelines, reference
 
-    return [found_core, reference, extended]
+    return [found_core, reference, extended, pipelines]
