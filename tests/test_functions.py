@@ -29,7 +29,7 @@ def site(**kw):
 def score(spark, *sites):
     df = spark.createDataFrame(list(sites), OBS).selectExpr("*", "1 as one")
     df.createOrReplaceTempView("obs_under_test")
-    rows = spark.sql(f"with lined as (select *, {scoring.line_columns()} from obs_under_test), banded as (select *, {scoring.band_columns()} from lined) select {scoring.TOTAL} as total, {scoring.PARTIAL} as partial, {scoring.STUB} as stub, earned_access from banded").collect()
+    rows = spark.sql(f"with primed as (select *, {scoring.PRELUDE} from obs_under_test), lined as (select *, {scoring.line_columns()} from primed), banded as (select *, {scoring.band_columns()} from lined) select {scoring.TOTAL} as total, {scoring.PARTIAL} as partial, {scoring.STUB} as stub, earned_access from banded").collect()
     return rows
 
 

@@ -46,14 +46,17 @@ STUB = (
     f"(coalesce(cloaking.browser_bytes, 0) > 0 and cloaking.browser_bytes < {STUB_BYTES} and ({TEXT} < {STUB_TEXT}"
     f" or ({TEXT} < {STUB_REFUSED_TEXT} and coalesce(cloaking.bot_status, 0) in {listed(SCORE_REFUSED)})))"
 )
-TRUSTED = f"(not {flag('control.challenged')} and not {STUB})"
+IS_TRUSTED = f"(not {flag('control.challenged')} and not {STUB})"
+#: Columns that many lines share, computed once: canonical token lists, and whether the body can be trusted.
+PRELUDE = f"{distinct_lower('tier1_blocked')} as t1, {distinct_lower('tier2_blocked')} as t2, {IS_TRUSTED} as trusted"
+TRUSTED = "trusted"
 SIGNALS = "(signals is not null)"
 OTHER_TYPES = f"array_size(filter({distinct_lower('structured.json_ld_types')}, x -> x not in {listed(PLAIN_TYPES)}))"
 
 #: (line, band, points, points earned, when it can be observed)
 LINES = (
-    ("tier1-access", 0, 30, tenth(f"greatest({TIER1_TOKENS} - {size_of('tier1_blocked')}, 0) * 30.0 / {TIER1_TOKENS}"), "true"),
-    ("tier2-access", 0, 8, tenth(f"greatest({TIER2_TOKENS} - {size_of('tier2_blocked')}, 0) * 8.0 / {TIER2_TOKENS}"), "true"),
+    ("tier1-access", 0, 30, tenth(f"greatest({TIER1_TOKENS} - coalesce(array_size(t1), 0), 0) * 30.0 / {TIER1_TOKENS}"), "true"),
+    ("tier2-access", 0, 8, tenth(f"greatest({TIER2_TOKENS} - coalesce(array_size(t2), 0), 0) * 8.0 / {TIER2_TOKENS}"), "true"),
     ("no-cloaking", 0, 7, f"case when {flag('cloaking.detected')} then 0 else 7 end", f"({TRUSTED} and {flag('cloaking.tested')})"),
     ("robots", 1, 3, f"case when {flag('robots.present')} then 3 else 0 end", "true"),
     ("sitemap", 1, 4, f"case when {flag('robots.sitemap_declared')} then 4 else 0 end", "true"),
@@ -74,7 +77,7 @@ LINES = (
 
 
 def line_columns() -> str:
-    """Columns e0, a0, e1, a1, ...: points earned, and whether the line could be observed."""
+    """Columns e0, a0, e1, a1, ... over the columns of PRELUDE: points earned, and whether the line could be observed."""
     return ", ".join(f"cast({e} as double) as e{i}, {a} as a{i}" for i, (_, _, _, e, a) in enumerate(LINES))
 
 
@@ -103,7 +106,7 @@ POSTURE = f"case when not {flag('robots.present')} then 'absent' when {flag('rob
 
 def archetype(blocked_roles: str, blocked_assistants: str, assistants: str) -> str:
     """Facet of access; the arguments are the distinct roles of blocked tier-1 tokens and counts of assistants."""
-    n = size_of("tier1_blocked")
+    n = "n_blocked"
     return (
         f"case when http_status = 402 then 'metered' when not {flag('robots.present')} then 'undeclared' when {n} = 0 then 'open' when {n} >= {TIER1_TOKENS} then 'walled'"
         f" when {blocked_roles} = 'training' then 'no-training' when {blocked_assistants} = 0 and {assistants} > 0 then 'assistant-only' else 'selective' end"
@@ -112,11 +115,11 @@ def archetype(blocked_roles: str, blocked_assistants: str, assistants: str) -> s
 
 def policy_gap(token: str) -> str:
     """Robots allow ``token`` but the server refuses its agent."""
-    return f"({flag('cloaking.tested')} and coalesce(cloaking.bot_status, 0) in {listed(GAP_REFUSED)} and not {flag(f'''array_contains({distinct_lower('tier1_blocked')}, '{token.lower()}')''')})"
+    return f"({flag('cloaking.tested')} and coalesce(cloaking.bot_status, 0) in {listed(GAP_REFUSED)} and not {flag(f'''array_contains(t1, '{token.lower()}')''')})"
 
 
 def contradicts(token: str) -> str:
-    return f"({flag('cloaking.detected')} and not {flag(f'''array_contains({distinct_lower('tier1_blocked')}, '{token.lower()}')''')})"
+    return f"({flag('cloaking.detected')} and not {flag(f'''array_contains(t1, '{token.lower()}')''')})"
 
 
 CLOAKING = f"case when not {flag('cloaking.detected')} then 'none' when cloaking.bot_status in {listed(PROBE_REFUSED)} then 'refused' else 'served less' end"

@@ -26,10 +26,10 @@ RANKS = f"""ranks as (
 # Scores are computed before the latest row is picked: the window keeps filters on a score from being
 # pushed into (and multiplying) its expression, and only the score's columns are shuffled.
 KEYED = f"keyed as (select o.*, {_NORMAL} as site from @observations o where domain is not null)"
-LINES = f"lined as (select *, {s.line_columns()} from keyed)"
-LINES_NOW = f"lined as (select *, {s.line_columns()} from sites)"
+LINES = f"primed as (select *, {s.PRELUDE} from keyed), lined as (select *, {s.line_columns()} from primed)"
+LINES_NOW = f"primed as (select *, {s.PRELUDE} from sites), lined as (select *, {s.line_columns()} from primed)"
 BANDS = f"banded as (select *, {s.band_columns()} from lined)"
-TOTALS = f"totalled as (select *, {s.TOTAL} as total, {s.PARTIAL} as partial, {s.POSTURE} as posture, {s.policy_gap(TOKEN)} as gap, {s.contradicts(TOKEN)} as contradicts, {s.size_of('tier1_blocked')} as n_blocked from banded)"
+TOTALS = f"totalled as (select *, {s.TOTAL} as total, {s.PARTIAL} as partial, {s.POSTURE} as posture, {s.policy_gap(TOKEN)} as gap, {s.contradicts(TOKEN)} as contradicts, coalesce(array_size(t1), 0) as n_blocked from banded)"
 LATEST = f"""latest as (select * from (select *, row_number() over (partition by site order by observed_at desc, ingested_at desc, obs_id desc) as nth from totalled) x where nth = 1 and not {s.flag('opted_out')})"""
 SCORED = f"scored as (select l.*, {s.grade('total')} as grade, stack.platform as platform, stack.network as network, r.site_rank, r.first_seen, {s.last_labels('site')} as suffix from latest l left join ranks r on l.site = r.rsite)"
 FULL = f"with {RANKS}, {KEYED}, {LINES}, {BANDS}, {TOTALS}, {LATEST}, {SCORED}"
@@ -61,13 +61,13 @@ TEXTS["score_fix_list"] = (
 )
 _FIX_FROM = _score_lines().split(LINES_NOW)[1]
 TEXTS["score_rescore_check"] = f"{FULL} select count(*) as n, count_if(s.total = d.score.total) as same, count_if(s.total is distinct from d.score.total) as different from scored s join (select distinct obs_id, row_id, score from @domain_rows) d on s.obs_id = d.obs_id"
-TEXTS["stub_and_trust"] = f"with {SITES} select site, {s.STUB} as stub, {s.TRUSTED} as trusted from sites"
+TEXTS["stub_and_trust"] = f"with {SITES} select site, {s.STUB} as stub, {s.IS_TRUSTED} as trusted from sites"
 TEXTS["facets"] = f"""{FULL}, roles as (select t.site, array_join(array_sort(array_distinct(collect_list(a.agent_role))), '|') as roles, count(distinct case when a.agent_role = 'assistant' then a.token end) as assistants
-    from (select site, explode({s.distinct_lower('tier1_blocked')}) as token from scored) t join @agent_registry a on lower(a.token) = t.token and a.tier = 1 group by t.site),
+    from (select site, explode(t1) as token from scored) t join @agent_registry a on lower(a.token) = t.token and a.tier = 1 group by t.site),
   known as (select count(*) as n from @agent_registry where tier = 1 and agent_role = 'assistant')
   select f.site, posture, {s.archetype("r.roles", "coalesce(r.assistants, 0)", "k.n")} as archetype, gap, contradicts, {s.CLOAKING} as cloaking_kind, {s.BADGE} as badge
   from scored f left join roles r on f.site = r.site cross join known k"""
-TEXTS["brand_fingerprint"] = f"""{FULL} select site, concat(coalesce(regexp_extract(left(site, greatest(length(site) - length(suffix) - 1, 0)), '([^.]*)$', 1), ''), '|', coalesce(array_join(array_sort({s.distinct_lower('tier1_blocked')}), ','), ''), '|', coalesce(network, '-')) as fingerprint from scored"""
+TEXTS["brand_fingerprint"] = f"""{FULL} select site, concat(coalesce(regexp_extract(left(site, greatest(length(site) - length(suffix) - 1, 0)), '([^.]*)$', 1), ''), '|', coalesce(array_join(array_sort(t1), ','), ''), '|', coalesce(network, '-')) as fingerprint from scored"""
 TEXTS["percentile_midpoint"] = f"""{FULL}, c as (select total, count(*) as n from scored where {COMPARABLE} group by total),
   m as (select total, floor((sum(n) over (order by total) - n + n / 2.0) * 100 / sum(n) over () + 0.5) as pct from c)
   select s.site, s.total, cast(m.pct as int) as percentile, greatest(1, 100 - cast(m.pct as int)) as top_percent from scored s left join m on s.total = m.total and {COMPARABLE.replace('total', 's.total').replace('partial', 's.partial')}"""
@@ -82,7 +82,7 @@ TEXTS["modal_band"] = f"{FULL} select band, n from (select band, n, row_number()
 TEXTS["policy_gaps"] = f"{FULL} select site, site_rank, nth from (select site, site_rank, row_number() over (order by site_rank asc nulls last, site) as nth from scored where gap) x where nth <= 200"
 TEXTS["gap_count"] = f"{FULL} select count_if(gap) as gaps, count_if(contradicts) as contradictions, count_if(total is not null) as observed from scored"
 TEXTS["blockers_of"] = f"""{FULL} select site, site_rank, nth from (select site, site_rank, row_number() over (order by site_rank asc nulls last, site) as nth from scored
-  where {s.flag(f"array_contains({s.distinct_lower('tier1_blocked')}, '{TOKEN.lower()}')")} or {s.flag(f"array_contains({s.distinct_lower('tier2_blocked')}, '{TOKEN.lower()}')")}) x where nth <= 100"""
+  where {s.flag(f"array_contains(t1, '{TOKEN.lower()}')")} or {s.flag(f"array_contains(t2, '{TOKEN.lower()}')")}) x where nth <= 100"""
 TEXTS["site_lookup"] = f"{FULL} select site, total, grade, posture from scored where site = 'pulse-canary.example'"
 TEXTS["signal_adoption"] = f"""with {SITES} select count(*) as n, count(signals) as looked, case when count(signals) > 0 then count_if({s.flag('signals.has_author')}) end as authors,
   case when count(signals) > 0 then count_if({s.flag('signals.date_published')}) end as dated, case when count(signals) > 0 then count_if({s.flag('signals.agent_card')}) end as cards,
@@ -114,14 +114,14 @@ TEXTS["award_count"] = f"{FULL} select count_if(grade = 'A') as ready, count_if(
 TEXTS["quadrant"] = f"""with {SITES}, q as (select {s.flag(f"array_contains({s.distinct_lower('tier1_blocked')}, '{TOKEN.lower()}')")} as denied, {s.flag('cloaking.tested')} as tested, coalesce(cloaking.bot_status, 0) as status from sites where {s.flag('reachable')})
   select count_if(not denied and tested and status in {s.listed(s.GAP_REFUSED)}) as gap, count_if(not denied and tested and status > 0 and status < 400) as open_honest, count_if(denied and status >= 400) as blocked_honest, count_if(denied and tested and status > 0 and status < 400) as declared_only, count(*) as n from q"""
 TEXTS["snapshot_day"] = "select max(observed_at) as last_seen, cast(max(observed_at) as date) as snapshot_day from @observations"
-TEXTS["daily_rollup"] = f"""{PAST} select day_of(observed_at) as stat_day, count(*) as total_domains, count(total) as observed, floor(avg(total) * 100 + 0.5) / 100 as mean_score, count_if(total is not null and {s.size_of('tier1_blocked')} > 0) as blocking_any,
-  count_if(total is not null and {s.size_of('tier1_blocked')} >= {s.TIER1_TOKENS}) as blocking_all, count_if(total is not null and {s.flag('llms_txt.present')}) as llms_txt, count_if(total is not null and {s.flag('agents_md.present')}) as agents_md,
+TEXTS["daily_rollup"] = f"""{PAST} select day_of(observed_at) as stat_day, count(*) as total_domains, count(total) as observed, floor(avg(total) * 100 + 0.5) / 100 as mean_score, count_if(total is not null and n_blocked > 0) as blocking_any,
+  count_if(total is not null and n_blocked >= {s.TIER1_TOKENS}) as blocking_all, count_if(total is not null and {s.flag('llms_txt.present')}) as llms_txt, count_if(total is not null and {s.flag('agents_md.present')}) as agents_md,
   count_if(http_status = 402) as payment_required, count_if(total is not null and {s.flag('cloaking.detected')}) as refused, case when count(signals) > 0 then count_if({s.flag('signals.has_author')}) end as authors from totalled group by 1"""
-TEXTS["daily_per_bot"] = f"""{PAST}, d as (select day_of(observed_at) as stat_day, explode({s.distinct_lower('tier1_blocked')}) as token from totalled union all select day_of(observed_at), explode({s.distinct_lower('tier2_blocked')}) from totalled),
+TEXTS["daily_per_bot"] = f"""{PAST}, d as (select day_of(observed_at) as stat_day, explode(t1) as token from totalled union all select day_of(observed_at), explode(t2) from totalled),
   days as (select distinct day_of(observed_at) as stat_day from totalled), c as (select stat_day, token, count(*) as n from d group by stat_day, token)
   select days.stat_day, a.token, coalesce(c.n, 0) as blocked from days cross join @agent_registry a left join c on c.stat_day = days.stat_day and c.token = lower(a.token)"""
 TEXTS["daily_histogram"] = f"{PAST} select day_of(observed_at) as stat_day, least(9, cast(floor(total / 10) as int)) as band, count(*) as n from totalled where {COMPARABLE} group by 1, 2"
-TEXTS["daily_stack"] = f"{PAST} select day_of(observed_at) as stat_day, stack.platform as platform, count(total) as n, count_if(total is not null and {s.size_of('tier1_blocked')} > 0) as blocking from totalled where stack.platform is not null group by 1, 2"
+TEXTS["daily_stack"] = f"{PAST} select day_of(observed_at) as stat_day, stack.platform as platform, count(total) as n, count_if(total is not null and n_blocked > 0) as blocking from totalled where stack.platform is not null group by 1, 2"
 
 for _dir, _o in (("top", "desc"), ("bottom", "asc")):
     TEXTS[f"leaderboard_{_dir}"] = f"{FULL} select site, total, site_rank, nth from (select site, total, site_rank, row_number() over (order by total {_o}, site_rank asc nulls last, site) as nth from scored where {COMPARABLE}) x where nth <= 50"
@@ -129,7 +129,7 @@ TEXTS["rows_in_cohort"] = f"{FULL} select site, total, nth from (select site, to
 TEXTS["band_examples"] = f"{FULL} select band, site, nth from (select site, band, row_number() over (partition by band order by site_rank asc nulls last, site) as nth from (select *, least(9, cast(floor(total / 10) as int)) as band from scored where {COMPARABLE}) b) x where nth <= 3"
 TEXTS["band_members"] = f"{FULL} select site, total from scored where {COMPARABLE} and total >= 70 and total < 80"
 TEXTS["entity_groups"] = f"""{FULL}, pool as (select *, row_number() over (order by total desc, site_rank asc nulls last, site) as pos from scored where {COMPARABLE}),
-  branded as (select site, pos, regexp_extract(left(site, greatest(length(site) - length(suffix) - 1, 0)), '([^.]*)$', 1) as brand, coalesce(array_join(array_sort({s.distinct_lower('tier1_blocked')}), ','), '') as policy, coalesce(network, '-') as net from pool where pos <= 400),
+  branded as (select site, pos, regexp_extract(left(site, greatest(length(site) - length(suffix) - 1, 0)), '([^.]*)$', 1) as brand, coalesce(array_join(array_sort(t1), ','), '') as policy, coalesce(network, '-') as net from pool where pos <= 400),
   g as (select *, case when length(brand) < 4 then concat('@', site) else concat(brand, '|', policy, '|', net) end as k from branded)
   select min_by(site, pos) as lead, count(*) as size, min(pos) as pos, array_join(array_sort(collect_list(site)), ',') as members from g group by k"""
 TEXTS["search_sites"] = f"""{FULL} select site, tier, nth from (select site, tier, row_number() over (order by tier, site_rank asc nulls last, site) as nth from (select site, site_rank, case when site = 'garden' then 0 when site like 'garden%' then 1 else 2 end as tier from scored where site like '%garden%') t) x where nth <= 100"""
@@ -140,7 +140,7 @@ TEXTS["rebuilt_access"] = f"""with {SITES} select site, a.token, not {s.flag(f"a
   from sites cross join @agent_registry a"""
 
 # changes and run health
-TEXTS["change_events"] = f"""{PAST}, p as (select site, observed_at, vantage, probe_version, {s.flag('reachable')} as up, array_sort({s.distinct_lower('tier1_blocked')}) as blocked, {s.flag('llms_txt.present')} as llms, {s.flag('agents_md.present')} as agents, total from totalled),
+TEXTS["change_events"] = f"""{PAST}, p as (select site, observed_at, vantage, probe_version, {s.flag('reachable')} as up, array_sort(t1) as blocked, {s.flag('llms_txt.present')} as llms, {s.flag('agents_md.present')} as agents, total from totalled),
   w as (select *, lag(observed_at) over h as b_at, lag(vantage) over h as b_vantage, lag(probe_version) over h as b_version, lag(up) over h as b_up, lag(blocked) over h as b_blocked, lag(llms) over h as b_llms, lag(agents) over h as b_agents, lag(total) over h as b_total from p window h as (partition by site order by observed_at)),
   ok as (select * from w where b_at is not null and vantage = b_vantage and probe_version = b_version)
   select site, observed_at, 'reachability' as kind from ok where up <> b_up
@@ -201,7 +201,7 @@ QUERIES, ORACLE = {}, {}
 
 def peer_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each comparable site against the medians of its platform and its network, where those have enough sites."""
-    rows = checkpoint(query(f"{FULL} select site, total, platform, network from scored where {COMPARABLE}")(spark, sf_dir))
+    rows = checkpoint(query(f"{FULL} select site, total, platform, network from scored where {COMPARABLE}", costly=("observations",))(spark, sf_dir))
 
     def median_of(key: str) -> DataFrame:
         mid = F.floor(F.median("total") * 10 + 0.5) / 10
@@ -213,6 +213,6 @@ def peer_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("site", "total", "platform_median", "network_median", delta("platform"), delta("network"), behind.alias("behind_any"))
 
 for _name, _text in TEXTS.items():
-    QUERIES[_name] = query(SPARK_TEXTS.get(_name, _text).replace("{range10}", _RANGE10[0]))
+    QUERIES[_name] = query(SPARK_TEXTS.get(_name, _text).replace("{range10}", _RANGE10[0]), costly=("observations",) if " lined as " in _text else ())
     ORACLE[_name] = duck_text(_text.replace("{range10}", _RANGE10[1]))
 QUERIES["peer_delta"] = peer_delta

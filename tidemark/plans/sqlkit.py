@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.tables import table
+from tidemark.tables import spread, table
 
 #: Spark's names and DuckDB's for what the texts use.
 DIALECT = (
@@ -50,12 +50,11 @@ def duck_text(sql: str) -> str:
     return re.sub(r"@(\w+)", r"\1", sql)
 
 
-def query(sql: str, doc: str = "") -> Callable[[SparkSession, str], DataFrame]:
-    """A registered query of the text ``sql``."""
+def query(sql: str, costly: tuple[str, ...] = ()) -> Callable[[SparkSession, str], DataFrame]:
+    """A registered query of the text ``sql``. ``costly``: tables whose rows cost enough to spread a small one over the cores."""
     names = sorted(set(re.findall(r"@(\w+)", sql)))
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.sql(spark_text(sql), **{n: table(spark, sf_dir, n) for n in names})
+        return spark.sql(spark_text(sql), **{n: spread(table(spark, sf_dir, n)) if n in costly else table(spark, sf_dir, n) for n in names})
 
-    run.__doc__ = doc
     return run
