@@ -19,11 +19,11 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.shred import Number, read_json
-from tidemark.tables import checkpoint
+from tidemark.tables import by_key, checkpoint
 
 ROUNDS = 200
 SETTLED = 1e-6
@@ -210,7 +210,10 @@ def schema_changes(leaves: DataFrame, files: DataFrame, evidence: int = EVIDENCE
     files have both values and all are equal in type and value. An empty input gives no rows.
     """
     changes = checkpoint(path_changes(leaves, files))  # as wide as schemas; read twice
-    scored = changes.groupBy("feed", "file_no").applyInPandas(_candidates, _CANDIDATE)
+    # only pairs of files that miss and gain paths have candidates
+    pair = Window.partitionBy("feed", "file_no")
+    torn = by_key(changes, "feed", "file_no").withColumn("torn", F.max(F.col("old").isNull()).over(pair) & F.max(F.col("new").isNull()).over(pair)).where("torn").drop("torn")
+    scored = torn.groupBy("feed", "file_no").applyInPandas(_candidates, _CANDIDATE)
     sides = scored.select("feed", "file_no", "old_path", "new_path", "score", F.explode(F.array(F.struct((F.col("file_no") - 1).alias("f"), F.col("old_path").alias("path"), F.lit(False).alias("now")), F.struct(F.col("file_no").alias("f"), F.col("new_path").alias("path"), F.lit(True).alias("now")))).alias("s"))
     wanted = sides.select("feed", F.col("s.f").alias("f"), F.col("s.path").alias("path"), F.col("s.now").alias("now"), F.col("file_no").alias("t"), "old_path", "new_path", "score")
     held = leaves.where(F.col("record").isNotNull()).select("feed", F.col("file_no").alias("f"), "path", "record", F.xxhash64("kind", "value").alias("h"))
@@ -219,7 +222,7 @@ def schema_changes(leaves: DataFrame, files: DataFrame, evidence: int = EVIDENCE
     )
     sure = met.where(F.col("now") & ~F.col("was")).groupBy("feed", "t", "old_path", "new_path", "score").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("lo") == F.col("hi")).alias("same"))
     sure = sure.where((F.col("n") >= evidence) & F.col("same")).select("feed", F.col("t").alias("file_no"), "old_path", "new_path", "score")
-    renamed = checkpoint(sure.groupBy("feed", "file_no").applyInPandas(_consistent, _CANDIDATE))
+    renamed = checkpoint(by_key(sure, "feed", "file_no").groupBy("feed", "file_no").applyInPandas(_consistent, _CANDIDATE))
     used = renamed.select("feed", "file_no", F.explode(F.array("old_path", "new_path")).alias("path")).withColumn("used", F.lit(True))
     kind = F.when(F.col("new").isNull(), "removed").when(F.col("old").isNull(), "added").otherwise("retyped")
     rest = changes.where("old is null or new is null or old <> new").join(used, ["feed", "file_no", "path"], "left").where("used is null").select(
