@@ -37,17 +37,19 @@ def version_history(
     nothing. ``last_seen`` is the last instant seen of the key (only on open versions).
     Input columns are renamed inside, so extra columns with any names do no harm.
     """
-    ks = [f"__k{i}" for i in range(len(keys))]
+    # one struct of the keys: nulls in it are equal, so the join below is on plain equality and keeps the partitioning
+    ks = ["__k"]
     by = [f"__t{i}" for i in range(len(latest_by))]
     cs = [f"__c{i}" for i in range(len(carry))]
     base = updates.where(F.col(ts).isNotNull()).select(
-        *[F.col(k).alias(a) for k, a in zip(keys, ks)],
+        F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]).alias("__k"),
         F.col(ts).alias("__ts"),
         attr_hash.alias("__h"),
         *[F.col(t).alias(a) for t, a in zip(latest_by, by)],
         *[F.col(c).alias(a) for c, a in zip(carry, cs)],
     )
-    base = base.withColumn("__b", F.floor(F.unix_timestamp("__ts") / bucket_seconds))
+    # said here, the filter that the join below infers for __b is in both of its branches, so they share one exchange
+    base = base.withColumn("__b", F.floor(F.unix_timestamp("__ts") / bucket_seconds)).where(F.col("__b").isNotNull())
     at = Window.partitionBy(*ks, "__b").orderBy("__ts", *[F.desc(t) for t in by])
     kept = base.withColumn("__p", F.lag("__ts").over(at)).where(F.col("__p").isNull() | (F.col("__p") != F.col("__ts")))
     seq = Window.partitionBy(*ks, "__b").orderBy("__ts")
@@ -70,12 +72,12 @@ def version_history(
         .select(*ks, "__b", "__starts", "__next", "__seen")
     )
     points = local.where((F.col("__n") == 1) | ~F.col("__h").eqNullSafe(F.col("__ph"))).select(*ks, "__b", "__ts", "__h", "__n", *cs)
-    j = [points[k].eqNullSafe(stitched[k]) for k in ks] + [points["__b"] == stitched["__b"]]
+    j = [points["__k"] == stitched["__k"], points["__b"] == stitched["__b"]]
     joined = points.join(stitched, j).where((points["__n"] > 1) | stitched["__starts"])
     end = F.coalesce(F.lead(points["__ts"]).over(Window.partitionBy(*[points[k] for k in ks], points["__b"]).orderBy(points["__ts"])), stitched["__next"])
     out = joined.select(*[points[k] for k in ks], points["__ts"], points["__h"], *[points[c] for c in cs], end.alias("__end"), stitched["__seen"])
     return out.select(
-        *[F.col(a).alias(k) for k, a in zip(keys, ks)],
+        *[F.col(f"__k.k{i}").alias(k) for i, k in enumerate(keys)],
         F.col("__ts").alias("valid_from"),
         F.col("__end").alias("valid_to"),
         F.col("__h").alias("version_hash"),
