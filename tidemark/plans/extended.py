@@ -77,6 +77,11 @@ TEXTS["page_features"] = f"""with {_PAGE} select doc_id, {h.count_tag('html', 'h
   array_size(filter(regexp_extract_all(html, '(?i)<img[^>]*>', 0), x -> regexp_like(x, '(?i)alt="[^"]+"'))) as images_alt, nullif(trim(left(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), 300)), '') as title,
   lower(split_part(regexp_extract(html, '(?i)<html[^>]*lang="([^"]*)"', 1), '-', 1)) as lang, {' + '.join(f"case when {h.has('html', f'(?i)<{t}[ >]')} then 1 else 0 end" for t in h.LANDMARKS)} as landmarks, {h.has('html', '(?i)<form[ >]')} as form, {h.has('html', '(?i)noindex')} as noindex from p"""
 
+_HOST = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(regexp_extract(text, '### Domain[ \\t\\r\\n]+([^ \\t\\r\\n]+)', 1))), '^https?://', ''), '[/:].*$', ''), '^www[.]', ''), '[.]$', '')"
+_VALID = "length(host) <= 253 and regexp_like(host, '^[a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?([.][a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?)+$')"
+TEXTS["issue_domains"] = f"""with i as (select doc_id, {_HOST} as host from @documents where lower(trim(source)) = 'issue' and text is not null), d as (select distinct domain from @domain_rows)
+  select doc_id, host, case when host = '' then 'missing' when not ({_VALID}) then 'invalid' when regexp_like(host, '(^|[.])(cdn|api|static|assets|cache)[.]') then 'infrastructure' end as rejection, d.domain is not null as known from i left join d on i.host = d.domain"""
+
 # general surface
 TEXTS["revenue_by_flag"] = "select l_returnflag, l_linestatus, sum(l_quantity) as sum_qty, sum(l_extendedprice * (1 - l_discount)) as revenue, avg(l_discount) as avg_disc, count(*) as n from @lineitem group by l_returnflag, l_linestatus"
 TEXTS["star_join"] = "select r_name, sum(l_extendedprice * (1 - l_discount)) as revenue, count(*) as n from @lineitem join @orders on l_orderkey = o_orderkey join @customer on o_custkey = c_custkey join @nation on c_nationkey = n_nationkey join @region on n_regionkey = r_regionkey group by r_name"
@@ -134,6 +139,30 @@ def range_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 RANGE_SQL = "select b.event_id, count(e.event_id) as n from events b left join events e on e.user_id = b.user_id and e.ts < b.ts and e.ts >= b.ts - interval 1 hour where b.event_type = 'purchase' group by b.event_id"
 
 
+def structured_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types and author marks of the linked-data blocks of each document's page.
+
+    A block's root, the items of a root array and of ``@graph`` are nodes; nothing deeper is. Blocks that are no JSON
+    are skipped. The pages carry a block by id: a graph, an array, one that is malformed, or none.
+    """
+    blocks = {0: '{"@graph": [{"@type": "Organization"}, {"@type": ["WebSite", "Thing"], "author": {"name": "x"}}]}', 1: '[{"@type": "Article", "author": ""}, {"part": {"@type": "Hidden"}}]', 2: '{"@type": "Broken",'}
+    block = F.coalesce(*[F.when(F.col("doc_id") % 4 == k, F.lit(f'<script type="application/ld+json">{v}</script>')) for k, v in blocks.items()], F.lit(""))
+    pages = query(f"with {_PAGE} select doc_id, html from p")(spark, sf_dir).select("doc_id", F.concat("html", block).alias("html"))
+    raw = pages.select("doc_id", F.explode(F.regexp_extract_all("html", F.lit("(?is)<script[^>]+type=.application/ld.json.[^>]*>(.*?)</script>"), 1)).alias("raw"))
+    v = raw.select("doc_id", F.try_parse_json(F.trim("raw")).alias("v")).where("v is not null")
+    items = lambda c, path: F.coalesce(F.try_variant_get(c, path, "array<variant>"), F.array())
+    roots = v.select("doc_id", F.explode(F.concat(items("v", "$"), F.array("v"))).alias("node"))
+    nodes = roots.select("doc_id", F.explode(F.concat(F.array("node"), items("node", '$["@graph"]'))).alias("node"))
+    one = F.try_variant_get("node", '$["@type"]', "string")
+    types = F.coalesce(F.try_variant_get("node", '$["@type"]', "array<string>"), F.when(one.isNotNull(), F.array(one)), F.array().cast("array<string>"))
+    author = F.coalesce(F.try_variant_get("node", "$.author", "string"), F.lit(""))
+    each = nodes.select("doc_id", types.alias("types"), (~author.isin("", "[]", "null")).alias("author"))
+    return each.groupBy("doc_id").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("types")))), ",").alias("types"), F.max("author").alias("has_author"))
+
+
+TYPES_SQL = "select doc_id, case when doc_id % 4 = 0 then 'Organization,Thing,WebSite' else 'Article' end as types, doc_id % 4 = 0 as has_author from documents where doc_id % 4 in (0, 1)"
+
+
 def approximate_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketch-based distinct counts and percentiles (no exact counterpart)."""
     l = table(spark, sf_dir, "lineitem")  # noqa: E741
@@ -150,8 +179,8 @@ def salted_skew_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 SALTED_SQL = "select o.domain, count(*) as n from observations o join (select distinct domain, row_id from domain_rows) d on o.domain = d.domain group by o.domain"
 
 _FORMS = {"~[": ("\\\\[", "\\["), "{bands}": ("sequence(0, 9)", "range(0, 10)"), "aggregate_squares(embedding)": ("aggregate(embedding, cast(0 as double), (a, x) -> a + cast(x as double) * x)", "list_sum(list_transform(embedding, lambda x: cast(x as double) * x))")}
-QUERIES = {"robots_groups": robots_groups, "robots_access": robots_access, "robots_summary": robots_summary, "events_json": events_json, "asof_scores": asof_scores, "range_events": range_events, "approximate_aggregates": approximate_aggregates, "salted_skew_join": salted_skew_join}
-ORACLE = {**ROBOTS_SQL, "events_json": "select event_type, sum(cast(json_extract(props, '$.k') as int)) as total, count(json_extract(props, '$.k')) as n from events group by event_type", "asof_scores": ASOF_SQL, "range_events": RANGE_SQL, "salted_skew_join": SALTED_SQL}
+QUERIES = {"structured_types": structured_types, "robots_groups": robots_groups, "robots_access": robots_access, "robots_summary": robots_summary, "events_json": events_json, "asof_scores": asof_scores, "range_events": range_events, "approximate_aggregates": approximate_aggregates, "salted_skew_join": salted_skew_join}
+ORACLE = {**ROBOTS_SQL, "structured_types": TYPES_SQL, "events_json": "select event_type, sum(cast(json_extract(props, '$.k') as int)) as total, count(json_extract(props, '$.k')) as n from events group by event_type", "asof_scores": ASOF_SQL, "range_events": RANGE_SQL, "salted_skew_join": SALTED_SQL}
 for _name, _text in TEXTS.items():
     _a, _b = _text, _text
     for _k, (_s, _d) in _FORMS.items():

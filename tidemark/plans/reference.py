@@ -65,8 +65,8 @@ TEXTS["stub_and_trust"] = f"with {SITES} select site, {s.STUB} as stub, {s.IS_TR
 TEXTS["facets"] = f"""{FULL}, roles as (select t.site, array_join(array_sort(array_distinct(collect_list(a.agent_role))), '|') as roles, count(distinct case when a.agent_role = 'assistant' then a.token end) as assistants
     from (select site, explode(t1) as token from scored) t join @agent_registry a on lower(a.token) = t.token and a.tier = 1 group by t.site),
   known as (select count(*) as n from @agent_registry where tier = 1 and agent_role = 'assistant')
-  select f.site, posture, {s.archetype("r.roles", "coalesce(r.assistants, 0)", "k.n")} as archetype, gap, contradicts, {s.CLOAKING} as cloaking_kind, {s.BADGE} as badge
-  from scored f left join roles r on f.site = r.site cross join known k"""
+  select f.site, posture, {s.archetype("r.roles", "coalesce(r.assistants, 0)", "(select n from known)")} as archetype, gap, contradicts, {s.CLOAKING} as cloaking_kind, {s.BADGE} as badge
+  from scored f left join roles r on f.site = r.site"""
 TEXTS["brand_fingerprint"] = f"""{FULL} select site, concat(coalesce(regexp_extract(left(site, greatest(length(site) - length(suffix) - 1, 0)), '([^.]*)$', 1), ''), '|', coalesce(array_join(array_sort(t1), ','), ''), '|', coalesce(network, '-')) as fingerprint from scored"""
 TEXTS["percentile_midpoint"] = f"""{FULL}, c as (select total, count(*) as n from scored where {COMPARABLE} group by total),
   m as (select total, floor((sum(n) over (order by total) - n + n / 2.0) * 100 / sum(n) over () + 0.5) as pct from c)
@@ -118,8 +118,8 @@ TEXTS["daily_rollup"] = f"""{PAST} select day_of(observed_at) as stat_day, count
   count_if(total is not null and n_blocked >= {s.TIER1_TOKENS}) as blocking_all, count_if(total is not null and {s.flag('llms_txt.present')}) as llms_txt, count_if(total is not null and {s.flag('agents_md.present')}) as agents_md,
   count_if(http_status = 402) as payment_required, count_if(total is not null and {s.flag('cloaking.detected')}) as refused, case when count(signals) > 0 then count_if({s.flag('signals.has_author')}) end as authors from totalled group by 1"""
 TEXTS["daily_per_bot"] = f"""{PAST}, d as (select day_of(observed_at) as stat_day, explode(t1) as token from totalled union all select day_of(observed_at), explode(t2) from totalled),
-  days as (select distinct day_of(observed_at) as stat_day from totalled), c as (select stat_day, token, count(*) as n from d group by stat_day, token)
-  select days.stat_day, a.token, coalesce(c.n, 0) as blocked from days cross join @agent_registry a left join c on c.stat_day = days.stat_day and c.token = lower(a.token)"""
+  days as (select stat_day, explode((select collect_list(token) from @agent_registry)) as token from (select distinct day_of(observed_at) as stat_day from totalled) u), c as (select stat_day, token, count(*) as n from d group by stat_day, token)
+  select days.stat_day, days.token, coalesce(c.n, 0) as blocked from days left join c on c.stat_day = days.stat_day and c.token = lower(days.token)"""
 TEXTS["daily_histogram"] = f"{PAST} select day_of(observed_at) as stat_day, least(9, cast(floor(total / 10) as int)) as band, count(*) as n from totalled where {COMPARABLE} group by 1, 2"
 TEXTS["daily_stack"] = f"{PAST} select day_of(observed_at) as stat_day, stack.platform as platform, count(total) as n, count_if(total is not null and n_blocked > 0) as blocking from totalled where stack.platform is not null group by 1, 2"
 
@@ -136,8 +136,8 @@ TEXTS["search_sites"] = f"""{FULL} select site, tier, nth from (select site, tie
 TEXTS["search_index"] = f"{FULL} select site, coalesce(site_rank, 0) as site_rank, coalesce(total, -1) as total, coalesce(grade, '') as grade, (case when n_blocked > 0 then 1 else 0 end) + (case when {s.flag('llms_txt.present')} then 2 else 0 end) + (case when gap then 4 else 0 end) + (case when partial then 8 else 0 end) as flags from scored"
 TEXTS["report_extracts"] = f"""{FULL} select * from (select 'best' as kind, site, total, row_number() over (order by total desc, site_rank asc nulls last, site) as nth from scored where {COMPARABLE}) b where nth <= 10
   union all select * from (select 'worst' as kind, site, total, row_number() over (order by total asc, site_rank asc nulls last, site) as nth from scored where {COMPARABLE}) w where nth <= 10"""
-TEXTS["rebuilt_access"] = f"""with {SITES} select site, a.token, not {s.flag(f"array_contains({s.distinct_lower('tier1_blocked')}, lower(a.token))")} and not {s.flag(f"array_contains({s.distinct_lower('tier2_blocked')}, lower(a.token))")} as allowed
-  from sites cross join @agent_registry a"""
+TEXTS["rebuilt_access"] = f"""with {SITES}, each as (select site, {s.distinct_lower('tier1_blocked')} as t1, {s.distinct_lower('tier2_blocked')} as t2, explode((select collect_list(token) from @agent_registry)) as token from sites)
+  select site, token, not {s.flag("array_contains(t1, lower(token))")} and not {s.flag("array_contains(t2, lower(token))")} as allowed from each"""
 
 # changes and run health
 TEXTS["change_events"] = f"""{PAST}, p as (select site, observed_at, vantage, probe_version, {s.flag('reachable')} as up, array_sort(t1) as blocked, {s.flag('llms_txt.present')} as llms, {s.flag('agents_md.present')} as agents, total from totalled),
