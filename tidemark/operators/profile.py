@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.quantiles import exact_medians
-from tidemark.tables import checkpoint
+from tidemark.tables import by_key, checkpoint
 
 #: Codes of a count: null, and its place against the former load's middle values lo <= hi.
 COUNT_CODES = 8
@@ -161,7 +161,7 @@ def discrimination(rows: DataFrame, medians: DataFrame, group: Sequence[str], lo
     cells = keyed.join(frame, [*g, "__t"]).select(*g, "__t", "fold", "now", *named).groupBy(*g, "__t", "fold", *[f"code{i}" for i in range(len(codes))]).agg(F.sum("now").alias("n1"), F.sum(1 - F.col("now")).alias("n0"))
     sizes = [*[COUNT_CODES] * len(r.counts), FLAG_CODES, LIST_CODES]
     schema = ", ".join(f"`{k}` {cells.schema[k].dataType.simpleString()}" for k in [*g, "__t"]) + ", column_name string, auc double, ablation double, gain double"
-    return cells.groupBy(*g, "__t").applyInPandas(_discriminate(r.columns, sizes, [*g, "__t"]), schema).withColumnRenamed("__t", load)
+    return by_key(cells, *g, "__t").groupBy(*g, "__t").applyInPandas(_discriminate(r.columns, sizes, [*g, "__t"]), schema).withColumnRenamed("__t", load)
 
 
 def profile(df: DataFrame, group: Sequence[str], load: str, r: Rules) -> tuple[DataFrame, DataFrame, DataFrame]:
