@@ -1,6 +1,6 @@
 import numpy as np
 
-from tidemark.llm.mixing import exponent_for_entropy, plan_mix, plan_shares, realise
+from tidemark.llm.mixing import exponent_for_entropy, plan_mix, plan_shares, realise, tempered
 
 TARGETS = "mix_id string, source string, weight double, max_repeats int, budget_tokens bigint, label string, planned int"
 
@@ -61,3 +61,37 @@ def test_shares_and_entropy():
     w = np.array(sizes, float) ** a
     w /= w.sum()
     assert abs(-(w * np.log(w)).sum() - 0.9) < 1e-6
+
+
+def test_caps_that_differ_leave_their_rest_to_sources_with_room():
+    # natural shares exceed the third limit, targets the first
+    t, planned = plan_shares([8, 1, 1], [100, 1000, 1000], [1, 1, 0.1], 1000)
+    assert np.allclose(planned, [100, 800, 100])
+    # sources that are not full keep the ratio of their targets
+    t, planned = plan_shares([6, 3, 1], [10, 10_000, 10_000], [5, 1, 0.024], 1000)
+    assert t == 0 and np.allclose(planned, [50, 712.5, 237.5])
+    # a weight of 0 or a source without tokens gets nothing, however much is left over
+    t, planned = plan_shares([1, 1, 0, 1], [100, 500, 9000, 0], [1, 2, 9, 9], 10_000)
+    assert planned.tolist() == [100, 1000, 0, 0]
+
+
+def test_budget_is_filled_within_the_caps_whenever_they_allow_it():
+    r = np.random.default_rng(5)
+    for _ in range(500):
+        n = r.integers(1, 8)
+        w, a, c = r.exponential(1, n) ** 2, r.integers(0, 1000, n), r.integers(0, 7, n)
+        w[r.random(n) < 0.2] = 0
+        budget = float(r.integers(1, 4000))
+        _, planned = plan_shares(w, a, c, budget)
+        limit = np.where(w > 0, c * a, 0)
+        assert (planned <= limit + 1e-6).all()
+        assert abs(planned.sum() - min(budget, limit.sum())) < 1e-6 * budget
+        assert (planned >= 0).all()
+
+
+def test_an_exponent_within_fits_though_natural_shares_do_not():
+    w, a, c, budget = [0.7, 0.2, 0.1], [100, 100, 9800], [4, 9, 0.05], 1000
+    t, planned = plan_shares(w, a, c, budget)
+    limit = np.multiply(a, c)
+    fits = [x for x in np.linspace(0, 1, 2001) if (tempered(np.array(w), np.array(a) / 10_000, x) * budget <= limit).all()]
+    assert fits and 0 < fits[0] < 1 and abs(t - fits[0]) < 1e-3 and abs(planned.sum() - budget) < 1e-6

@@ -3,8 +3,8 @@
 Token counts of all documents give each source's size. A mix whose targets can be met keeps them.
 Where a source would be repeated beyond its cap, the shares are tempered: share_i is proportional
 to target_i * (natural_i / target_i) ** t, and the exponent t (0: the targets, 1: the sources'
-natural shares) is bisected to the least at which every source keeps its repetition limit. The
-planned tokens of a source are realised as whole passes over it and one budgeted pass over blocks in
+natural shares) is bisected to the least at which every source keeps its repetition limit. If none
+does, sources at their limit are pinned there and the rest is tempered again among the others. The planned tokens of a source are realised as whole passes over it and one budgeted pass over blocks in
 permuted order: whole blocks while they fit, then a cut inside a single block. Only sums of blocks
 (at most BLOCKS a source) and one block's documents ever come together.
 """
@@ -56,28 +56,59 @@ def exponent_for_entropy(sizes: Sequence[float], target: float) -> float:
     return (lo + hi) / 2
 
 
+def _least_exponent(target: np.ndarray, natural: np.ndarray, limit: np.ndarray, budget: float) -> float | None:
+    """The least exponent in [0, 1] at which no source's share of the budget exceeds its limit, or None.
+
+    The exponents at which one source exceeds its limit are a single interval (the logarithm of a
+    tempered share is concave in t), so the end of each one in the way is passed once.
+    """
+    over = lambda t: tempered(target, natural, t) * budget > limit * (1 + 1e-12)
+    t = 0.0
+    for _ in range(len(target) + 1):
+        bad = over(t)
+        if not bad.any():
+            return t
+        if (bad & over(1.0)).any():
+            return None
+        i = int(np.argmax(bad))
+        lo, hi = t, 1.0
+        for _ in range(STEPS):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if over(mid)[i] else (lo, mid)
+        t = hi
+    return None
+
+
 def plan_shares(weights: Sequence[float], available: Sequence[float], caps: Sequence[float], budget: float) -> tuple[float, np.ndarray]:
-    """Exponent and planned tokens of one mix's sources; sums to less than the budget only if the caps leave no more."""
+    """Exponent and planned tokens of one mix's sources; sums to less than the budget only if the caps leave no more.
+
+    Where no exponent fits, the sources whose target exceeds their limit get the limit, and the others share the rest
+    of the budget in the same way: by their targets, tempered where these don't fit. The exponent is that
+    of the sources below their limit, 1 if there are none.
+    """
     w, a, c = (np.nan_to_num(np.asarray(x, float)) for x in (weights, available, caps))
     w = np.maximum(w, 0)
     limit = np.maximum(c, 0) * a
+    planned = np.zeros(len(w))
     if not w.sum() or not budget > 0:
-        return 0.0, np.zeros(len(w))
+        return 0.0, planned
     target = w / w.sum()
     if (target * budget <= limit).all():
         return 0.0, target * budget
-    usable = np.where(limit > 0, target, 0)
-    if not usable.sum():
-        return 1.0, np.zeros(len(w))
-    natural = np.where(usable > 0, a, 0) / np.where(usable > 0, a, 0).sum()
-    fits = lambda t: (tempered(usable, natural, t) * budget <= limit * (1 + 1e-12)).all()
-    if not fits(1.0):
-        return 1.0, np.minimum(tempered(usable, natural, 1.0) * budget, limit)
-    lo, hi = 0.0, 1.0
-    for _ in range(STEPS):
-        mid = (lo + hi) / 2
-        lo, hi = (lo, mid) if fits(mid) else (mid, hi)
-    return hi, np.minimum(tempered(usable, natural, hi) * budget, limit)
+    room = (target > 0) & (limit > 0)
+    if limit[room].sum() <= budget:
+        return 1.0, np.where(room, limit, 0)
+    rest = budget
+    while room.any():
+        share, natural = (np.where(room, x, 0) / x[room].sum() for x in (target, a))
+        t = _least_exponent(share, natural, limit, rest)
+        if t is not None:
+            return t, np.where(room, np.minimum(tempered(share, natural, t) * rest, limit), planned)
+        full = room & (share * rest > limit)
+        planned[full] = limit[full]
+        rest -= limit[full].sum()
+        room &= ~full
+    return 1.0, planned
 
 
 def plan_mix(sizes: DataFrame, targets: DataFrame) -> DataFrame:
