@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from tidemark.operators.profile import Rules, findings, profile
+from tidemark.operators.profile import Rules, describe, findings, profile
 from tidemark.operators.quantiles import exact_medians
 
 
@@ -70,6 +70,18 @@ def test_classifier_tells_what_changed(spark):
     assert d[3, "x"].gain < 1e-9 and abs(d[3, "x"].auc - 0.5) < 0.25
 
 
+def test_description_of_every_load(spark):
+    rows = [(101, 10, True, ["a:1"]), (-1, None, True, []), (40, 10, False, ["Bad", None]), (40, 13, None, None), (None, 10, True, ["a:1", "b:2"])]
+    df = frame(spark, {1: rows, 2: [(None, None, None, None)]})
+    got = {(r.load, r.column_name): tuple(r)[3:] for r in describe(df.union(df), ["g"], "load", rules()).collect()}
+    assert got[1, "x"] == (5, 1, 0.2, 3, -1, 101, 40.0, 2)
+    assert got[1, "y"] == (5, 1, 0.2, 2, 10, 13, 10.0, 0)
+    assert got[1, "f"] == (5, 1, 0.2, 2, 0, 1, 1.0, 2)
+    assert got[1, "t"] == (5, 1, 0.2, 4, 0, 2, 1.5, 1)
+    assert {got[2, c] for c in "xyft"} == {(1, 1, 1.0, 0, None, None, None, 0)} and len(got) == 8
+    assert describe(frame(spark, {}), ["g"], "load", rules()).count() == 0
+
+
 def test_exact_medians(spark):
     import random
     import statistics

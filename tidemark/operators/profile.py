@@ -164,11 +164,44 @@ def discrimination(rows: DataFrame, medians: DataFrame, group: Sequence[str], lo
     return by_key(cells, *g, "__t").groupBy(*g, "__t").applyInPandas(_discriminate(r.columns, sizes, [*g, "__t"]), schema).withColumnRenamed("__t", load)
 
 
-def profile(df: DataFrame, group: Sequence[str], load: str, r: Rules) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(base aggregates, medians, discrimination); the first two are small and checkpointed. Rows equal in all columns count once; rows with a null load or group are left out."""
+def _kept(df: DataFrame, group: Sequence[str], load: str) -> DataFrame:
     rows = df.distinct().where(F.col(load).isNotNull())
     for k in group:
         rows = rows.where(F.col(k).isNotNull())
+    return rows
+
+
+def describe(df: DataFrame, group: Sequence[str], load: str, r: Rules) -> DataFrame:
+    """The profile itself, a row for each load and column, all exact: ``group``, ``load``, ``column_name``, ``n``, ``nulls``,
+    ``null_share``, ``distinct`` (non-null values), ``least``, ``greatest``, ``median``, ``violations`` (rows that break the column's rule).
+
+    Range and median of the flag are taken of 0 and 1, those of the texts of their number; without values they are null.
+    Distinct texts are distinct as lists. Values are counted first, so no group comes together. Rows are kept as in ``profile``.
+    """
+    key = [*group, load, "column_name"]
+    broken = {**r.ranges, r.texts: _bad_texts(F.col(r.texts), r.pattern)}
+    if r.consistency is not None:
+        broken[r.flag] = r.consistency
+    x = F.col(r.texts)
+    parts = [
+        *[(c, F.col(c).cast("string"), F.col(c)) for c in r.counts],
+        (r.flag, F.col(r.flag).cast("string"), F.col(r.flag).cast("bigint")),
+        (r.texts, F.to_json(x), F.when(x.isNotNull(), F.size(x)).cast("bigint")),
+    ]
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), text.alias("__text"), v.alias("__v"), F.coalesce(broken.get(c, F.lit(False)), F.lit(False)).cast("bigint").alias("__bad")) for c, text, v in parts])
+    long = _kept(df, group, load).select(*group, load, F.explode(cells).alias("__c")).select(*group, load, "__c.*")
+    values = long.groupBy(*key, "__text").agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__v"), F.sum("__bad").alias("__bad"))
+    out = values.groupBy(*key).agg(
+        F.sum("__n").alias("n"), F.sum(F.when(F.col("__text").isNull(), F.col("__n")).otherwise(0)).alias("nulls"), F.count("__text").alias("distinct"),
+        F.min("__v").alias("least"), F.max("__v").alias("greatest"), F.sum("__bad").alias("violations"),
+    )
+    mid = exact_medians(long, key, "__v").select(*key, ((F.col("lo").cast("double") + F.col("hi").cast("double")) / 2).alias("median"))
+    return out.join(mid, key, "left").select(*key, "n", "nulls", (F.col("nulls") / F.col("n")).alias("null_share"), "distinct", "least", "greatest", "median", "violations")
+
+
+def profile(df: DataFrame, group: Sequence[str], load: str, r: Rules) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(base aggregates, medians, discrimination); the first two are small and checkpointed. Rows equal in all columns count once; rows with a null load or group are left out."""
+    rows = _kept(df, group, load)
     base = checkpoint(base_aggregates(rows, group, load, r))
     long = rows.select(*group, load, F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("v")) for c in r.counts])).alias("x")).select(*group, load, "x.*")
     medians = checkpoint(exact_medians(long, [*group, load, "column_name"], "v"))

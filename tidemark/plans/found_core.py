@@ -108,6 +108,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.findings(table(spark, sf_dir, "daily_stats"), ["feed"], "load_no", _rules())
 
 
+def p4_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null share, distinct values, range, median and rule violations of the four columns in every load."""
+    return profile.describe(table(spark, sf_dir, "daily_stats"), ["feed"], "load_no", _rules())
+
+
 def p4_discrimination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well a classifier tells a load from the one before, and each column's part in it."""
     return profile.profile(table(spark, sf_dir, "daily_stats"), ["feed"], "load_no", _rules())[2]
@@ -140,6 +145,19 @@ union all select feed, load_no, 'blocking_any_tier1', 'shift' from p where abs(m
 union all select feed, load_no, 'suspect', 'shift' from p where k > 0 and pk > 0 and abs(t * pk - pt * k) * 5 > k * pk
 """
 
+_P4_COLUMNS = {
+    "observed": ("observed", "observed < 0 or observed > total_domains"),
+    "blocking_any_tier1": ("blocking_any_tier1", "blocking_any_tier1 < 0 or blocking_any_tier1 > observed"),
+    "suspect": ("cast(suspect as bigint)", "(suspect and coalesce(len(suspect_reasons), 0) = 0) or (not suspect and coalesce(len(suspect_reasons), 0) > 0)"),
+    "suspect_reasons": ("len(suspect_reasons)", "len(list_filter(suspect_reasons, lambda x: not regexp_full_match(x, '[a-z]+:-?[0-9]+(\\.[0-9]+)?'))) > 0"),
+}
+
+P4_PROFILE_SQL = "with r as (select distinct * from daily_stats where feed is not null and load_no is not null)\n" + "\nunion all ".join(
+    f"""select feed, load_no, '{c}' as column_name, count(*) as n, count(*) - count({c}) as nulls, (count(*) - count({c})) / count(*) as null_share, count(distinct {c}) as "distinct",
+  min({v}) as least, max({v}) as greatest, cast(median({v}) as double) as median, count(*) filter (where {bad}) as violations from r group by feed, load_no"""
+    for c, (v, bad) in _P4_COLUMNS.items()
+)
+
 
 def _feed_leaves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     lines = table(spark, sf_dir, "feed_lines").select("feed", "file_no", "line_no", "payload")
@@ -188,7 +206,7 @@ def p6_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p3_found": p3_found, "p3_merged": p3_merged, "p4_found": p4_found, "p4_discrimination": p4_discrimination, "p5_found": p5_found, "p5_table": p5_table,
+    "p3_found": p3_found, "p3_merged": p3_merged, "p4_found": p4_found, "p4_profile": p4_profile, "p4_discrimination": p4_discrimination, "p5_found": p5_found, "p5_table": p5_table,
     "p6_found": p6_found, "p6_tables": p6_tables, "p7_found": p7_found,
 }
-ORACLE = {"p3_found": P3_SQL, "p3_merged": P3_SQL, "p4_found": P4_SQL, "p7_found": P7_SQL}
+ORACLE = {"p3_found": P3_SQL, "p3_merged": P3_SQL, "p4_found": P4_SQL, "p4_profile": P4_PROFILE_SQL, "p7_found": P7_SQL}
