@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tidemark.llm.spans import MIN_RUN, shared_amount, shared_pairs
+from tidemark.llm.spans import MIN_RUN, shared_amount, shared_pairs, shared_spans
 
 SCHEMA = "id bigint, body string, doc bigint, edge string"
 
@@ -83,3 +83,44 @@ def test_one_very_long_text(spark):
 def test_short_limit_is_refused(spark):
     with pytest.raises(ValueError):
         shared_pairs(frame(spark, []), "id", "body", 100)
+
+
+def spans_of(spark, docs):
+    """Spans against brute force: each shared window in one span of its document, each span at every place of its text."""
+    texts = dict(docs)
+    _, rep = brute(docs)
+    held = {(i, j) for i, t in docs for j in range(len(t) - MIN_RUN + 1) if t[j : j + MIN_RUN] in rep}
+    rows = shared_spans(frame(spark, docs), "id", "body").collect()
+    windows = [(r.doc, j) for r in rows for j in range(r.start, r.start + r.length - MIN_RUN + 1)]
+    assert len(windows) == len(set(windows)) and set(windows) == held
+    by_id = {}
+    for r in rows:
+        by_id.setdefault(r.span_id, set()).add((r.doc, r.start, texts[r.doc][r.start : r.start + r.length]))
+        lo, hi = r.stretch_start, r.stretch_start + r.stretch_length
+        assert lo <= r.start and r.start + r.length <= hi and all((r.doc, j) in held for j in range(lo, hi - MIN_RUN + 1))
+        assert (r.doc, lo - 1) not in held and (r.doc, hi - MIN_RUN + 1) not in held
+    for places in by_id.values():
+        (t,) = {x for _, _, x in places}
+        assert {(i, j) for i, j, _ in places} == {(i, j) for i, body in docs for j in range(len(body)) if body.startswith(t, j)}
+        assert len({i for i, _, _ in places}) > 1
+    return rows
+
+
+def test_spans_give_their_places(spark):
+    r = random.Random(11)
+    x, y = text(r, 420), text(r, 230)
+    docs = [(1, "<" + x + ">" + text(r, 50)), (2, text(r, 90) + "[" + x + "]"), (3, "(" + y + ")" + text(r, 300) + "{" + x + "}"), (4, y)]
+    rows = spans_of(spark, docs)
+    assert sorted((q.doc, q.start, q.length) for q in rows) == [(1, 1, 420), (2, 91, 420), (3, 1, 230), (3, 533, 420), (4, 0, 230)]
+    assert len({q.span_id for q in rows}) == 2
+
+
+def test_spans_of_branching_and_periodic_texts(spark):
+    r = random.Random(9)
+    a, b, c = text(r, 260), text(r, 150), text(r, 260)
+    spans_of(spark, [(1, a + b + c), (2, a + b), (3, b + c), (4, a), (5, b), (6, a + b + c), (7, c + a), (8, text(r, 50) + b), (9, a + "|" + a + c)])
+    spans_of(spark, [(1, "a" * 1000), (2, "b" + "a" * 200 + "c"), (4, "ab" * 400), (5, "x" + "ba" * 110), (6, "lorem ipsum dolor " * 60), (7, "ipsum dolor lorem " * 30)])
+    x = text(r, 700)
+    rows = spans_of(spark, [(1, x), (2, x), (3, "<" + x[200:500] + ">")])
+    assert {(q.doc, q.stretch_start, q.stretch_length) for q in rows} == {(1, 0, 700), (2, 0, 700), (3, 1, 300)}
+    assert shared_spans(frame(spark, []), "id", "body").count() == 0

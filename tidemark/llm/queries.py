@@ -124,6 +124,11 @@ def p10_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_amount(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text").withColumnRenamed("doc", "doc_id")
 
 
+def p10_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shared spans themselves: which document holds which span, where, and how long it is."""
+    return spans.shared_spans(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text").withColumnRenamed("doc", "doc_id")
+
+
 def _sized_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id``, ``source`` (normalised), ``tokens`` of every document that has a source; repeated rows once."""
     d = spread(table(spark, sf_dir, "documents").select("doc_id", plain_label(F.col("source")).alias("source"), "text").where("source is not null"))
@@ -163,6 +168,6 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p2_found": p2_found, "p2_days": p2_days, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_found": p9_found, "p9_mix": p9_mix, "p9_shares": p9_shares,
-    "p10_found": p10_found, "p10_amount": p10_amount,
+    "p10_found": p10_found, "p10_amount": p10_amount, "p10_spans": p10_spans,
 }
 ORACLE = {"p1_found": P1_SQL, "p2_found": P2_SQL}

@@ -252,3 +252,35 @@ def shared_amount(df: DataFrame, doc_id: str, text: str, min_run: int = MIN_RUN)
     sizes = df.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).cast("bigint").alias("doc")).agg(F.coalesce(F.max(F.length(text)), F.lit(0)).cast("bigint").alias("chars"))
     out = sizes.join(shared, "doc", "left").select("doc", "chars", F.coalesce("shared_chars", F.lit(0)).cast("bigint").alias("shared_chars"))
     return out.withColumn("share", F.when(F.col("chars") > 0, F.col("shared_chars") / F.col("chars")).otherwise(F.lit(0.0)))
+
+
+def shared_spans(df: DataFrame, doc_id: str, text: str, min_run: int = MIN_RUN) -> DataFrame:
+    """Spans of ``min_run`` or more code points that several records hold: ``doc``, ``start`` (from 0), ``length``, ``span_id``,
+    ``stretch_start``, ``stretch_length``.
+
+    Rows of one ``span_id`` are all places of one text, in two records at least; ``span_id`` is the hash of its first ``min_run``
+    code points, which no other span has. A span goes on for as long as every place of it goes on alike, so a
+    run that further records hold a part of comes as several spans, neighbours sharing ``min_run`` - 1 code points. A
+    stretch is the whole unbroken part of the record in such spans. Every window of ``min_run`` code points that two records hold
+    is in one span at each of its places. Of several texts of one id the longest counts (then the greatest). Rows are linear in the text.
+    """
+    one = _texts(df, doc_id, text, min_run).groupBy("doc").agg(F.max(F.struct(F.length("text").alias("n"), "text")).alias("t")).select("doc", "t.text")
+    windows = _windows(one, "doc", "text", min_run, True)
+    keys = windows.groupBy("k1", "k2").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1")).where("d0 < d1").select("k1", "k2")
+    hit = windows.join(keys, ["k1", "k2"], "left_semi")
+    order = Window.partitionBy("doc").orderBy("pos")
+    key = F.struct("k1", "k2")
+    side = lambda f, step: F.when(f("pos").over(order) == F.col("pos") + step, f(key).over(order))
+    placed = checkpoint(hit.select("doc", "pos", "k1", "k2", side(F.lag, -1).alias("prev"), side(F.lead, 1).alias("next")))
+    alike = lambda c: (F.count(c) == F.count(F.lit(1))) & (F.min(c) == F.max(c))
+    ways = placed.groupBy("k1", "k2").agg(F.coalesce(alike("prev"), F.lit(False)).alias("from_one"), F.coalesce(alike("next"), F.lit(False)).alias("to_one"))
+    at = placed.join(ways, ["k1", "k2"])
+    joined = F.coalesce(F.col("prev").isNotNull() & F.col("from_one") & F.lag("to_one").over(order), F.lit(False))
+    marked = at.select("doc", "pos", "k1", "k2", F.when(~joined, F.col("pos")).alias("head"), F.when(F.col("prev").isNull(), F.col("pos")).alias("first"))
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    runs = marked.select("doc", "pos", "k1", "k2", F.max("head").over(upto).alias("start"), F.max("first").over(upto).alias("stretch_start"))
+    spans = runs.groupBy("doc", "start", "stretch_start").agg(
+        (F.max("pos") - F.col("start") + min_run).alias("length"), F.max(F.when(F.col("pos") == F.col("start"), F.concat(*[F.lpad(F.hex(k), 16, "0") for k in ("k1", "k2")]))).alias("span_id")
+    )
+    whole = F.max(F.col("start") + F.col("length")).over(Window.partitionBy("doc", "stretch_start"))
+    return spans.select("doc", "start", "length", "span_id", "stretch_start", (whole - F.col("stretch_start")).alias("stretch_length"))
