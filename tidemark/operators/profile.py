@@ -7,8 +7,8 @@ the cells' counts per load and fold are sufficient statistics of the regression,
 with map-side combining reduces any number of rows to a bounded table per pair of loads (CELLS
 bounds it), and each of thousands of models is fitted to that. Fits are cross-fitted (trained on one
 fold, judged on the other); discrimination is the AUC, and each column's part in it is its loss when
-the column is ablated. A column that alone distinguishes the loads at all is a candidate for the
-exact comparisons; codes are cut at the former load's middle values, so no comparison below can
+the column is ablated. The regression accompanies the exact comparisons and decides none: a column is
+compared if its code counts have unequal shares in the two loads (``gain``); codes are cut at the former load's middle values, so no comparison below can
 hold for a column whose codes have equal shares in both loads.
 """
 
@@ -212,7 +212,7 @@ def findings(df: DataFrame, group: Sequence[str], load: str, r: Rules) -> DataFr
     """``group``, ``load``, ``column_name``, ``check_name``.
 
     Within a load, from the exact aggregates: ``value_range``, ``pattern``, ``consistency``. Against the load numbered
-    one less, for the columns whose model distinguishes the two: ``null_rate`` (null shares more than
+    one less, for the columns whose codes have unequal shares in the two: ``null_rate`` (null shares more than
     0.10 apart), ``constant`` (one distinct value now, several before), ``shift`` (median of a count, or
     share of true, moved by more than 0.2). Shares and medians are compared in whole numbers. An empty table has no findings.
     """
