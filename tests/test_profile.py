@@ -52,6 +52,15 @@ def test_median_of_an_even_count_moves_while_shares_about_it_do_not(spark):
     assert run(spark, {1: a, 2: b}) == [(2, "x", "shift")]
 
 
+def test_median_below_zero(spark):
+    of = lambda *v: [(1, y, False, []) for y in v]
+    assert run(spark, {1: of(*[-10] * 6), 2: of(*[-20] * 6)}) == [(2, "y", "shift")]
+    assert run(spark, {1: of(*[-20] * 6), 2: of(*[-10] * 6)}) == [(2, "y", "shift")]
+    assert run(spark, {1: of(-13, -15, -20), 2: of(-15, -15, -15)}) == [(2, "y", "constant")]
+    assert run(spark, {1: of(-10, -10, -30, -30), 2: of(-10, -10, -60, -60)}) == [(2, "y", "shift")]
+    assert run(spark, {1: of(*[-10] * 6), 2: of(*[-10] * 6)}) == []
+
+
 def test_repeated_rows_count_once(spark):
     df = frame(spark, {1: BASE, 2: BASE})
     assert findings(df.union(df.where("load = 2 and x = 40")), ["g"], "load", rules()).count() == 0

@@ -132,13 +132,11 @@ def _count_code(c: Column, lo: Column, hi: Column) -> Column:
     return (
         F.when(c.isNull(), 0)
         .when(lo.isNull(), 1)
-        .when(c * 5 < lo * 4, 6)
-        .when(c * 5 > hi * 6, 7)
-        .when(c < lo, 1)
+        .when(c < lo, F.when((lo - c) * 5 > F.abs(lo), 6).otherwise(1))
         .when(c == lo, 2)
         .when(c < hi, 3)
         .when(c == hi, 4)
-        .otherwise(5)
+        .otherwise(F.when((c - hi) * 5 > F.abs(hi), 7).otherwise(5))
     )
 
 
