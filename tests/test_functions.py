@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import detect, robots, scoring
 from tidemark.functions.normal import normal_domain, token_set
 from tidemark.operators import run_health
+from tidemark.plans import pipelines
 
 TIER1 = [f"t{i}" for i in range(11)]
 OBS = """reachable boolean, http_status int, control struct<challenged: boolean>, robots struct<present: boolean, blocks_all_crawlers: boolean, sitemap_declared: boolean, named_tokens: array<string>>,
@@ -119,6 +120,17 @@ def test_normal_forms(spark):
     assert [r.d for r in rows] == ["a.example", None, ""] and [r.t for r in rows] == [["a", "b"], None, []]
 
 
+def test_first_match_reads_the_whole_body(spark):
+    df = spark.range(1).select(F.concat(F.repeat(F.lit("x"), 300_000), F.lit("/wp-content/")).alias("body"))
+    assert df.select(detect.first_match(detect.PLATFORM_RULES, F.col("body"), window=None)).first()[0] == "wordpress"
+
+
+def test_platform_detection_reads_long_documents(spark, small, tmp_path):
+    docs = spark.read.parquet(f"{small}/documents.parquet").where("text is not null")
+    docs.withColumn("text", F.concat(F.repeat(F.lit("x"), 300_000), F.lit("/wp-content/"))).limit(2).write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r.platform for r in pipelines.platform_detection(spark, str(tmp_path)).collect()] == ["wordpress"] * 2
+
+
 def test_first_match(spark):
     df = spark.createDataFrame([("<a href='/WP-content/x'>/_next/static/", {}), ("x" * 250_001 + "/_nuxt/", {}), ("", {"x-drupal-cache": "HIT"}), (None, None)], "body string, h map<string,string>")
     assert [r[0] for r in df.select(detect.first_match(detect.PLATFORM_RULES, F.col("body"), F.col("h"))).collect()] == ["wordpress", None, "drupal", None]

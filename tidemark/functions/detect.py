@@ -24,9 +24,9 @@ PLATFORM_RULES = (
 )
 
 
-def first_match(rules: Sequence[tuple], body: Column, headers: Column | None = None, window: int = BODY_WINDOW) -> Column:
-    """Id of the first rule that holds, else null. ``headers``: map with lower-case names."""
-    head = F.substring(body, 1, window)
+def first_match(rules: Sequence[tuple], body: Column, headers: Column | None = None, window: int | None = BODY_WINDOW) -> Column:
+    """Id of the first rule that holds, else null. ``headers``: map with lower-case names. ``window``: only so many first characters of the body are matched, all of it if None."""
+    head = body if window is None else F.substring(body, 1, window)
     found = []
     for name, header, pattern, text in rules:
         cond = F.lit(False)

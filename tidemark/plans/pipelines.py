@@ -37,7 +37,7 @@ def reassessed_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 def platform_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First matching platform rule of each document's page (marks are put into the pages by id)."""
     pages = query(f"with {_PAGE} select doc_id, concat(html, case doc_id % 4 when 0 then '<link href=\"/wp-content/a.css\">' when 1 then '<script src=\"/_next/static/b.js\"></script>' else '' end) as html from p")(spark, sf_dir)
-    return pages.select("doc_id", detect.first_match(detect.PLATFORM_RULES, F.col("html")).alias("platform"))
+    return pages.select("doc_id", detect.first_match(detect.PLATFORM_RULES, F.col("html"), window=None).alias("platform"))
 
 
 DETECTION_SQL = """select doc_id, case when regexp_matches(coalesce(text, ''), '(?i)/wp-(content|includes)/') or doc_id % 4 = 0 then 'wordpress' when regexp_matches(coalesce(text, ''), '(?i)/sites/default/files/') then 'drupal' when regexp_matches(coalesce(text, ''), '(?i)content=.joomla') then 'joomla'
