@@ -9,7 +9,7 @@ from tidemark.functions.normal import normal_domain, set_hash, token_set, utc_te
 from tidemark.operators import profile, schema_drift, shred
 from tidemark.operators.history import merge_history, version_history
 from tidemark.operators.snapshot_diff import snapshot_changes
-from tidemark.tables import spread, table
+from tidemark.tables import checkpoint, spread, table
 
 #: p3_merged takes what was ingested before this instant as the stored history, the rest as one batch.
 MERGE_CUT = "2026-02-15 00:00:00"
@@ -25,8 +25,8 @@ def _periods(h: DataFrame) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """History of tier1_blocked for every normalised domain and vantage."""
-    return _periods(version_history(_policy_log(spark, sf_dir), ["domain", "vantage"], "observed_at", F.col("tokens_hash"), latest_by=["ingested_at", "obs_id"]))
+    """History of tier1_blocked for every normalised domain and vantage: all daily loads merged into an empty history."""
+    return _periods(merge_history(None, _policy_log(spark, sf_dir), None, ["domain", "vantage"], "observed_at", F.col("tokens_hash"), latest_by=["ingested_at", "obs_id"]))
 
 
 def p3_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def p3_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _policy_log(spark, sf_dir)
     cut = F.lit(MERGE_CUT).cast("timestamp")
     how = {"keys": ["domain", "vantage"], "ts": "observed_at", "attr_hash": F.col("tokens_hash"), "latest_by": ["ingested_at", "obs_id"]}
-    stored = version_history(log.where(F.col("ingested_at") < cut), **how)
+    stored = checkpoint(version_history(log.where(F.col("ingested_at") < cut), **how))  # a stored table: the merge reads it several times
     return _periods(merge_history(stored, log.where(F.col("ingested_at") >= cut), log, **how))
 
 
