@@ -1,7 +1,9 @@
+import numpy as np
 from pyspark.sql import functions as F
 
-from tidemark.operators.profile import Rules, describe, findings, profile
+from tidemark.operators.profile import LEAST_PART, Rules, _fit, changed_columns, describe, findings, profile
 from tidemark.operators.quantiles import exact_medians
+from tidemark.plans import found_core
 
 
 def rules():
@@ -73,10 +75,48 @@ def test_all_null_columns(spark):
 
 
 def test_classifier_tells_what_changed(spark):
-    moved = [(x + 30, y, f, t) for x, y, f, t in BASE]
-    d = {(r.load, r.column_name): r for r in profile(frame(spark, {1: BASE, 2: moved, 3: moved}), ["g"], "load", rules())[2].collect()}
-    assert d[2, "x"].auc > 0.9 and d[2, "x"].ablation > 0.3 and d[2, "y"].gain < 1e-9
-    assert d[3, "x"].gain < 1e-9 and abs(d[3, "x"].auc - 0.5) < 0.25
+    base = BASE * 6
+    moved = [(x + 30, y, f, t) for x, y, f, t in base]
+    lost = [(None if i % 8 == 0 else x, y, f, t) for i, (x, y, f, t) in enumerate(moved)]
+    d = {(r.load, r.column_name): r for r in profile(frame(spark, {1: base, 2: moved, 3: moved, 4: lost}), ["g"], "load", rules())[2].collect()}
+    assert d[2, "x"].auc > 0.9 and d[2, "x"].ablation > 0.3 and d[2, "x"].alone > 0.9 and d[2, "x"].missing == 0.5
+    assert d[2, "y"].alone < 0.6 and abs(d[3, "x"].auc - 0.5) < 0.1
+    assert abs(d[4, "x"].missing - 0.5) > 0.04
+    disc = profile(frame(spark, {1: base, 2: moved, 3: moved, 4: lost}), ["g"], "load", rules())[2]
+    named = {tuple(r)[1:] for r in changed_columns(disc, ["g"], "load").collect()}
+    assert {(2, "x"), (4, "x")} <= named and not named & {(n, c) for n in (2, 3, 4) for c in ("f", "t")} and (3, "x") not in named
+
+
+def test_small_loads_are_compared_in_any_case(spark):
+    df = frame(spark, {1: BASE, 2: BASE})
+    disc = profile(df, ["g"], "load", rules())[2]
+    assert disc.where("auc is null").count() == 4 == changed_columns(disc, ["g"], "load").count()
+
+
+def test_the_classifier_decides_and_loses_next_to_nothing(spark, small):
+    """Against the exact comparison of every column: recall at least 0.9 (here 1), and columns spared."""
+    df = spark.read.parquet(small.replace("0.001", "0.01") + "/daily_stats.parquet")
+    disc = profile(df, ["feed"], "load_no", found_core._rules())[2].toPandas()
+    part = disc[["alone", "ablation", "missing"]].assign(alone=disc.alone - 0.5, missing=(disc.missing - 0.5).abs()).max(axis=1)
+    assert (part <= LEAST_PART).mean() > 0.3
+    named = {tuple(r) for r in findings(df, ["feed"], "load_no", found_core._rules()).collect()}
+    exact = {tuple(r) for r in findings(df, ["feed"], "load_no", found_core._rules(), every=True).collect()}
+    assert named <= exact and len(named) >= 0.9 * len(exact) and len(exact) > 20
+
+
+def test_regression_settles_on_separable_and_empty_cells():
+    x = np.hstack([np.ones((4, 1)), np.eye(4)[:, 1:]])
+    for n1, n0 in (([1e6, 0, 0, 0], [0, 1e6, 0, 0]), ([0] * 4, [0] * 4), ([1, 0, 5, 0], [0] * 4), ([1e9, 3, 1e9, 0], [1e9, 0, 1e9, 7])):
+        b = _fit(x, np.array(n1, float), np.array(n0, float))
+        assert np.isfinite(b).all()
+
+
+def test_every_column_is_described_whatever_its_type(spark):
+    df = spark.createDataFrame([(1, "g", 1, 2.5, "abc", None, [1, 2], (1, "x"))], "id bigint, g string, load int, d double, s string, ts timestamp, a array<int>, o struct<p:int,q:string>")
+    r = Rules(counts=(), flag="f", texts="t", pattern="x")
+    df = df.withColumn("f", F.lit(True)).withColumn("t", F.array(F.lit("x")))
+    got = {x.column_name: (x.nulls, x["distinct"], x.least, x.median) for x in describe(df, ["g"], "load", r, ["d", "s", "ts", "a", "o", "f"]).collect()}
+    assert got == {"d": (0, 1, 2.5, 2.5), "s": (0, 1, 3.0, 3.0), "ts": (1, 0, None, None), "a": (0, 1, 2.0, 2.0), "o": (0, 1, None, None), "f": (0, 1, 1.0, 1.0)}
 
 
 def test_description_of_every_load(spark):

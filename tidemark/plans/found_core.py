@@ -113,6 +113,12 @@ def p4_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.describe(table(spark, sf_dir, "daily_stats"), ["feed"], "load_no", _rules())
 
 
+def p4_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same description of every column of the table, whatever its type."""
+    d = table(spark, sf_dir, "daily_stats")
+    return profile.describe(d, ["feed"], "load_no", _rules(), [c for c in d.columns if c not in ("feed", "load_no")])
+
+
 def p4_discrimination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well a classifier tells a load from the one before, and each column's part in it."""
     return profile.profile(table(spark, sf_dir, "daily_stats"), ["feed"], "load_no", _rules())[2]
@@ -158,6 +164,14 @@ P4_PROFILE_SQL = "with r as (select distinct * from daily_stats where feed is no
     for c, (v, bad) in _P4_COLUMNS.items()
 )
 
+_ALL = {c: f"cast({c} as double)" for c in ("total_domains", "observed", "mean_score", "attempted", "succeeded", "blocking_any_tier1", "blocking_all_tier1", "llms_txt", "agents_md", "policy_gaps")}
+_ALL |= {"loaded_at": "cast(floor(epoch(loaded_at)) as double)", "stat_day": "cast(floor(epoch(cast(stat_day as timestamp))) as double)", "suspect": "cast(cast(suspect as bigint) as double)", "suspect_reasons": "cast(len(suspect_reasons) as double)"}
+P4_COLUMNS_SQL = "with r as (select distinct * from daily_stats where feed is not null and load_no is not null)\n" + "\nunion all ".join(
+    f"""select feed, load_no, '{c}' as column_name, count(*) as n, count(*) - count({c}) as nulls, (count(*) - count({c})) / count(*) as null_share, count(distinct {c}) as "distinct",
+  min({v}) as least, max({v}) as greatest, cast(median({v}) as double) as median, count(*) filter (where {_P4_COLUMNS[c][1] if c in _P4_COLUMNS else 'false'}) as violations from r group by feed, load_no"""
+    for c, v in _ALL.items()
+)
+
 
 def _feed_leaves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     lines = table(spark, sf_dir, "feed_lines").select("feed", "file_no", "line_no", "payload")
@@ -206,7 +220,7 @@ def p6_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p3_found": p3_found, "p3_merged": p3_merged, "p4_found": p4_found, "p4_profile": p4_profile, "p4_discrimination": p4_discrimination, "p5_found": p5_found, "p5_table": p5_table,
+    "p3_found": p3_found, "p3_merged": p3_merged, "p4_found": p4_found, "p4_profile": p4_profile, "p4_columns": p4_columns, "p4_discrimination": p4_discrimination, "p5_found": p5_found, "p5_table": p5_table,
     "p6_found": p6_found, "p6_tables": p6_tables, "p7_found": p7_found,
 }
-ORACLE = {"p3_found": P3_SQL, "p3_merged": P3_SQL, "p4_found": P4_SQL, "p4_profile": P4_PROFILE_SQL, "p7_found": P7_SQL}
+ORACLE = {"p3_found": P3_SQL, "p3_merged": P3_SQL, "p4_found": P4_SQL, "p4_profile": P4_PROFILE_SQL, "p4_columns": P4_COLUMNS_SQL, "p7_found": P7_SQL}
