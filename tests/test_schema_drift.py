@@ -1,6 +1,11 @@
 import json
 
-from tidemark.operators.schema_drift import canonical_number, flood, read_leaves, schema_changes, unite
+import numpy as np
+import pytest
+
+from tidemark.operators import schema_drift
+from tidemark.operators.schema_drift import candidates, canonical_number, flood, path_changes, read_leaves, schema_changes, select_pairs, unite
+from tidemark.plans import found_core
 
 
 def frames(spark, files):
@@ -67,3 +72,60 @@ def test_flooding_settles_on_likely_matches():
 def test_canonical_numbers():
     assert {canonical_number(x) for x in ("1", "1.0", "10e-1", "1.00")} == {"1"}
     assert canonical_number("12345678901234567890") == "12345678901234567890" and canonical_number("0.10") == "0.1"
+
+
+def test_flooding_selects_and_loses_next_to_nothing(spark, small):
+    """Against the check of every pair: recall at least 0.9 (here 1), and pairs spared."""
+    leaves, files = found_core._feed_leaves(spark, small.replace("0.001", "0.1"))
+    pairs = candidates(path_changes(leaves, files)).toPandas()
+    assert 0 < pairs.selected.sum() < 0.85 * len(pairs)
+    few = {tuple(r)[:5] for r in schema_changes(leaves, files).collect()}
+    every = {tuple(r)[:5] for r in schema_changes(leaves, files, every=True).collect()}
+    renamed = {x for x in every if x[2] == "renamed"}
+    assert len(renamed) > 50 and len(renamed & few) >= 0.9 * len(renamed)
+
+
+def test_selection_is_consistent_and_keeps_ties():
+    score = np.array([[0.5, 0.2, 0.1], [0.4, 0.3, 0.3]])
+    assert select_pairs(score).tolist() == [[True, False, False], [False, True, True]]
+    assert select_pairs(np.array([[0.1], [0.4], [0.2]])).tolist() == [[False], [True], [False]]
+    assert select_pairs(np.ones((2, 3))).all() and not select_pairs(np.ones((0, 3))).size
+
+
+def test_a_pair_that_flooding_passes_over_is_found_only_the_exact_way(spark):
+    old = [day(i, alphaCount=i, zeta=i * 7) for i in range(6)]
+    new = [day(i, alphaCounts=i * 7, betaGamma=i * 7, **{"alpha.count": 1}) for i in range(6)]
+    leaves, files = frames(spark, {("f", 1): old, ("f", 2): new})
+    few = {tuple(r)[:5] for r in schema_changes(leaves, files).collect()}
+    every = {tuple(r)[:5] for r in schema_changes(leaves, files, every=True).collect()}
+    assert ("f", 2, "renamed", "zeta", "alphaCounts") in every - few
+
+
+def test_scores_that_do_not_settle_are_an_error(monkeypatch):
+    monkeypatch.setattr(schema_drift, "ROUNDS", 2)
+    with pytest.raises(ArithmeticError):
+        flood({"a.b": {"string"}, "c": {"number"}}, {"a.d": {"string"}, "c": {"number"}})
+
+
+@pytest.mark.parametrize("depth", [1_200, 20_000, 100_000])
+def test_deep_arrays_are_leaves(spark, depth):
+    deep = "[" * depth + "1.0" + "]" * depth
+    rows = [("f", n, i, json.dumps(day(i))[:-1] + f', "{k}": {deep}}}') for n, k in ((1, "a"), (2, "b")) for i in range(5)]
+    lines = spark.createDataFrame(rows, "feed string, file_no int, line_no int, payload string")
+    leaves = read_leaves(lines, "feed", "file_no", "line_no", "payload", ["day"])
+    assert leaves.where("kind = 'array'").selectExpr("min(length(value)) as n").first().n == 2 * depth + 1
+    assert [tuple(r)[2:5] for r in schema_changes(leaves, lines.select("feed", "file_no").distinct()).collect()] == [("renamed", "a", "b")]
+
+
+def test_a_later_name_does_not_swallow_an_older_path(spark):
+    files = {("f", 1): [day(i, a=i, b=-i) for i in range(6)], ("f", 2): [day(i, a=i) for i in range(6)], ("f", 3): [day(i, b=i) for i in range(6)]}
+    leaves, f = frames(spark, files)
+    got = {(r.file_no, r.line_no): dict(r.fields) for r in unite(leaves, schema_changes(leaves, f)).collect()}
+    assert got[1, 2] == {"b": "2", "b@1": "-2", "day": "d2"} and got[2, 2] == got[3, 2] == {"b": "2", "day": "d2"}
+
+
+def test_united_values_are_cast(spark):
+    files = {("f", 1): [day(1, n=1.50, m=1, s='q"\n', t=[1, "1", 2.0], u=True)], ("f", 2): [day(1, n=2, m="x", s="", t=[], u=False)]}
+    leaves, f = frames(spark, files)
+    got = [json.loads(r.record) for r in unite(leaves, schema_changes(leaves, f)).orderBy("file_no").collect()]
+    assert got == [{"day": "d1", "m": "1", "n": 1.5, "s": 'q"\n', "t": [1, "1", 2], "u": True}, {"day": "d1", "m": "x", "n": 2, "s": "", "t": [], "u": False}]

@@ -1,8 +1,10 @@
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
-from tidemark.operators.shred import parent_label, shred, table_of
+from tidemark.operators.shred import _read_deep, parent_label, read_json, shred, table_of, write_json
 
 ARRAYS = ["obs", "obs.g", "obs.g.a", "obs.t"]
 
@@ -48,3 +50,35 @@ def test_parents_by_truncation(spark):
     joined = up.join(g.select(F.col("label").alias("owner"), "record_id"), ["record_id", "owner"])
     assert joined.count() == 3
     assert sorted(tuple(r.owner) for r in joined.collect()) == [(0, 0, 0, 0), (0, 0, 0, 1), (0, 0, 0, 1)]
+
+
+@pytest.mark.parametrize("depth", [1_200, 20_000, 100_000])
+def test_no_depth_is_dropped(spark, depth):
+    inner = "[" * depth + "1.50" + "]" * depth
+    objects = '{"x":' * depth + "7" + "}" * depth
+    raws = [f'{{"obs": {{"g": {{"a": ["s", {inner}, {objects}]}}}}}}', f'{{"deep": {inner}, "obs": {{"g": {{"a": "t"}}}}}}', json.dumps({"obs": f'{{"g": {{"a": [{inner}]}}}}'})]
+    got = leaves(spark, raws)
+    assert [(r, label[-1], len(v)) for r, label, v in got] == [(0, 0, 1), (0, 1, 2 * depth + 3), (0, 2, 6 * depth + 1), (1, 0, 1), (2, 0, 2 * depth + 3)]
+
+
+def test_all_paths_of_a_deep_record(spark):
+    n = nodes(spark, ["[" * 1_500 + "]" * 1_500 + " "])
+    assert n.count() == 1_500 and n.where("size(label) = 1499").count() == 1
+
+
+def test_deep_reader_reads_what_the_plain_one_does():
+    good = ['{"a": [1, -2.50e+3, true, false, null, "\\u00e9\\n"], "b": {}, "c": [], "a": 2}', " [ ] ", '"x"', "0", "[[],[{}]]", '{"":{"":[]}}']
+    for raw in good:
+        assert _read_deep(raw) == read_json(raw) and json.loads(write_json(read_json(raw))) == json.loads(raw)
+    for raw in ["", " ", "[1,]", "{,}", '{"a":1,}', "[1 2]", "[1", '{"a"}', "{1:2}", "01", "1.", "nul", "[1]]", '"a', "NaN", "-Infinity", "[}", '{"a":1]', '"\n"', "+1", "tru"]:
+        for read in (_read_deep, read_json):
+            with pytest.raises(ValueError):
+                read(raw)
+
+
+def test_a_wide_record_is_put_out_in_parts(spark, monkeypatch):
+    from tidemark.operators import shred as module
+
+    monkeypatch.setattr(module, "FLUSH", 100)
+    raw = json.dumps({"obs": {"g": [{"a": ["v" * 30] * 50}]}})
+    assert shred(spark.createDataFrame([(1, raw)], "id bigint, raw string"), "id", "raw", arrays=ARRAYS, paths=["obs.g.a"]).where("element").count() == 50

@@ -135,12 +135,17 @@ def _discriminate(names: Sequence[str], sizes: Sequence[int], keys: Sequence[str
             a, b = ([np.bincount(cell, n * (fold == k), len(first)) for k in (0, 1)] for n in (n1, n0))
             return float(np.mean([_auc(x @ _fit(x, a[1 - k], b[1 - k]), a[k], b[k]) for k in (0, 1)]))
 
+        def crossed_alone(code: np.ndarray, size: int) -> float:
+            """The same for one coded column: its model is saturated, so the fit is in closed form (log odds of the codes, 1/2 added to each count)."""
+            a, b = ([np.bincount(code, n * (fold == k), size) for k in (0, 1)] for n in (n1, n0))
+            return float(np.mean([_auc(np.log((a[1 - k] + 0.5) / (b[1 - k] + 0.5)), a[k], b[k]) for k in (0, 1)]))
+
         every = list(zip(held, sizes))
         auc = crossed(every)
         rows = []
         for i, name in enumerate(names):
-            less, alone, missing = crossed(every[:i] + every[i + 1 :]), crossed([every[i]]), crossed([((held[i] == 0).astype(int), 2)])
-            rows.append((*[p[k].iloc[0] for k in keys], name, auc, *((None,) * 3 if auc is None else (auc - less, alone, missing))))
+            parts = (None,) * 3 if auc is None else (auc - crossed(every[:i] + every[i + 1 :]), crossed_alone(*every[i]), crossed_alone((held[i] == 0).astype(int), 2))
+            rows.append((*[p[k].iloc[0] for k in keys], name, auc, *parts))
         return pd.DataFrame(rows, columns=[*keys, "column_name", "auc", "ablation", "alone", "missing"])
 
     return judge

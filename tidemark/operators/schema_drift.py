@@ -2,9 +2,9 @@
 
 Each file's schema is a graph: dotted leaf paths, their name tokens, their types and the nesting
 between parents and children. Between consecutive files of a feed, similarity flooding propagates
-match scores over the product of both graphs until they settle; every removed path is a candidate
-for every added one with a score, and candidates are then checked against the values of records that
-both files hold. Renames so confirmed give each path one name per feed, under which values are cast to
+match scores over the product of both graphs until they settle. Consistent correspondences are selected from them: a removed and
+an added path that are each other's best match, then the same among the paths left; only these are checked against the values
+of records that both files hold. Renames so confirmed give each path one name per feed, under which values are cast to
 one type and united.
 
 Schema graphs (as wide as a schema, not as long as a file) are all that one task holds.
@@ -12,7 +12,6 @@ Schema graphs (as wide as a schema, not as long as a file) are all that one task
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterator, Sequence
 
@@ -22,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.shred import Number, read_json
+from tidemark.operators.shred import Number, read_json, write_json
 from tidemark.tables import by_key, checkpoint
 
-ROUNDS = 200
+ROUNDS = 10_000
+#: Scores within this share of the best are as good.
+TIE = 1e-6
 SETTLED = 1e-6
 FLOOR = 0.05
 EVIDENCE = 5
@@ -41,14 +42,9 @@ def canonical_number(text: str) -> str:
         return str(int(f)) if f.is_integer() and abs(f) < 2**53 else repr(f)
 
 
-def _array_text(v):
-    if isinstance(v, Number):
-        return ["n", canonical_number(v)]
-    if isinstance(v, list):
-        return [_array_text(x) for x in v]
-    if isinstance(v, dict):
-        return {k: _array_text(x) for k, x in v.items()}
-    return v
+def _text(v) -> str:
+    """JSON text that equal values share."""
+    return write_json(v, canonical_number, sort=True)
 
 
 def leaves_of(record: dict) -> list[tuple[str, str, str]]:
@@ -67,7 +63,7 @@ def leaves_of(record: dict) -> list[tuple[str, str, str]]:
             elif isinstance(v, Number):
                 out.append((path, "number", canonical_number(v)))
             elif isinstance(v, list):
-                out.append((path, "array", json.dumps(_array_text(v), sort_keys=True, ensure_ascii=False)))
+                out.append((path, "array", _text(v)))
             else:
                 out.append((path, "string", v))
     return out
@@ -92,7 +88,7 @@ def read_leaves(lines: DataFrame, feed: str, file_no: str, line_no: str, payload
                     continue
                 if not isinstance(v, dict):
                     continue
-                key = next((f"{k}:{v[k]}" for k in names if v.get(k) is not None), None)
+                key = next((f"{k}:{_text(v[k]) if isinstance(v[k], (list, dict)) else v[k]}" for k in names if v.get(k) is not None), None)
                 ls = leaves_of(v)
                 at += [i] * len(ls)
                 record += [key] * len(ls)
@@ -122,6 +118,7 @@ def flood(old: dict[str, set[str]], new: dict[str, set[str]]) -> dict[tuple[str,
     Nodes of a schema graph: its paths (inner ones too) and its types. Edges: child of, and has type.
     A pair of nodes of both graphs passes its score to the pairs one edge further, shared equally
     among the neighbours over edges of one label; scores start from name likeness and are scaled to 1.
+    Rounds go on until no score moves by SETTLED; ArithmeticError if ROUNDS don't suffice.
     """
 
     def graph(paths: dict[str, set[str]]) -> tuple[list[str], list[tuple[str, str, str]]]:
@@ -165,21 +162,33 @@ def flood(old: dict[str, set[str]], new: dict[str, set[str]]) -> dict[tuple[str,
         nxt /= nxt.max() or 1
         delta, score = np.abs(nxt - score).max(), nxt
         if delta < SETTLED:
-            break
-    return {(a, b): float(score[ia[a], ib[b]]) for a in old for b in new}
+            return {(a, b): float(score[ia[a], ib[b]]) for a in old for b in new}
+    raise ArithmeticError(f"the scores have not settled after {ROUNDS} rounds")
 
 
 _CANDIDATE = "feed string, file_no int, old_path string, new_path string, score double"
 
 
+def select_pairs(score: np.ndarray) -> np.ndarray:
+    """The consistent (row, column) correspondences: pairs that are each other's best, then the same among the rows and columns left, and so on. Ties are kept."""
+    chosen = np.zeros(score.shape, bool)
+    left = score.astype(float)
+    while left.size and left.max() > 0:
+        best = (left > 0) & (left >= left.max(1, keepdims=True) * (1 - TIE)) & (left >= left.max(0, keepdims=True) * (1 - TIE))
+        chosen |= best
+        left = np.where(best.any(1, keepdims=True) | best.any(0, keepdims=True), 0, left)
+    return chosen
+
+
 def _candidates(p: pd.DataFrame) -> pd.DataFrame:
-    """Scored (removed, added) pairs of two consecutive files' schemas."""
+    """Scored (removed, added) pairs of two consecutive files' schemas, with whether flooding selects them."""
     old = {r.path: set(r.old) for r in p.itertuples() if r.old is not None}
     new = {r.path: set(r.new) for r in p.itertuples() if r.new is not None}
     gone, come = sorted(set(old) - set(new)), sorted(set(new) - set(old))
     scores = flood(old, new) if gone and come else {}
-    rows = [(p["feed"].iloc[0], p["file_no"].iloc[0], a, b, scores[a, b]) for a in gone for b in come if scores and scores[a, b] > 0]
-    return pd.DataFrame(rows, columns=["feed", "file_no", "old_path", "new_path", "score"])
+    best = select_pairs(np.array([[scores[a, b] for b in come] for a in gone])) if scores else None
+    rows = [(p["feed"].iloc[0], p["file_no"].iloc[0], a, b, scores[a, b], bool(best[i, j])) for i, a in enumerate(gone) for j, b in enumerate(come) if scores]
+    return pd.DataFrame(rows, columns=["feed", "file_no", "old_path", "new_path", "score", "selected"])
 
 
 def _consistent(p: pd.DataFrame) -> pd.DataFrame:
@@ -202,18 +211,25 @@ def path_changes(leaves: DataFrame, files: DataFrame) -> DataFrame:
     return merged.join(both, ["feed", "t"], "left_semi").withColumnRenamed("t", "file_no")
 
 
-def schema_changes(leaves: DataFrame, files: DataFrame, evidence: int = EVIDENCE) -> DataFrame:
+def candidates(changes: DataFrame) -> DataFrame:
+    """``feed``, ``file_no``, ``old_path``, ``new_path``, ``score``, ``selected`` of every removed and added path of ``path_changes``."""
+    # only pairs of files that miss and gain paths have candidates
+    pair = Window.partitionBy("feed", "file_no")
+    torn = by_key(changes, "feed", "file_no").withColumn("torn", F.max(F.col("old").isNull()).over(pair) & F.max(F.col("new").isNull()).over(pair)).where("torn").drop("torn")
+    return torn.groupBy("feed", "file_no").applyInPandas(_candidates, f"{_CANDIDATE}, selected boolean")
+
+
+def schema_changes(leaves: DataFrame, files: DataFrame, evidence: int = EVIDENCE, every: bool = False) -> DataFrame:
     """``feed``, ``file_no``, ``change`` (removed, added, retyped, renamed), ``old_path``, ``new_path``, ``score``.
 
     ``leaves`` as of ``read_leaves``, ``files``: distinct ``feed``, ``file_no``. A file is compared with the one numbered one less,
-    if that exists. A candidate is confirmed as renamed if at least ``evidence`` records of both
-    files have both values and all are equal in type and value. An empty input gives no rows.
+    if that exists. A pair that flooding selects is confirmed as renamed if at least ``evidence`` records of both
+    files have both values and all are equal in type and value. ``every``: all pairs are checked, whatever their scores
+    (the exact way, at the cost of comparing values of every two changed paths). An empty input gives no rows.
     """
     changes = checkpoint(path_changes(leaves, files))  # as wide as schemas; read twice
-    # only pairs of files that miss and gain paths have candidates
-    pair = Window.partitionBy("feed", "file_no")
-    torn = by_key(changes, "feed", "file_no").withColumn("torn", F.max(F.col("old").isNull()).over(pair) & F.max(F.col("new").isNull()).over(pair)).where("torn").drop("torn")
-    scored = torn.groupBy("feed", "file_no").applyInPandas(_candidates, _CANDIDATE)
+    scored = candidates(changes)
+    scored = scored if every else scored.where("selected")
     sides = scored.select("feed", "file_no", "old_path", "new_path", "score", F.explode(F.array(F.struct((F.col("file_no") - 1).alias("f"), F.col("old_path").alias("path"), F.lit(False).alias("now")), F.struct(F.col("file_no").alias("f"), F.col("new_path").alias("path"), F.lit(True).alias("now")))).alias("s"))
     wanted = sides.select("feed", F.col("s.f").alias("f"), F.col("s.path").alias("path"), F.col("s.now").alias("now"), F.col("file_no").alias("t"), "old_path", "new_path", "score")
     held = leaves.where(F.col("record").isNotNull()).select("feed", F.col("file_no").alias("f"), "path", "record", F.xxhash64("kind", "value").alias("h"))
@@ -232,26 +248,42 @@ def schema_changes(leaves: DataFrame, files: DataFrame, evidence: int = EVIDENCE
 
 
 def canonical_names(leaves: DataFrame, changes: DataFrame) -> DataFrame:
-    """``feed``, ``file_no``, ``path``, ``name``: the last name that each path of each file came to have by renames."""
+    """``feed``, ``file_no``, ``path``, ``name``: the last name that each path of each file came to have by renames.
+
+    Only paths that a rename of the feed names are looked at together; any other keeps its name. Where a file holds a path by
+    the name that another of its paths comes to have later, that older path is another field and gets a name
+    of its own, with the number of its last file.
+    """
     paths = leaves.select("feed", "file_no", "path").distinct()
     moves = changes.where("change = 'renamed'").select("feed", "file_no", "old_path", "new_path")
-    events = paths.select("feed", "file_no", "path", F.lit(None).cast("string").alias("to")).unionByName(moves.select("feed", "file_no", F.col("old_path").alias("path"), F.col("new_path").alias("to")))
+    moved = moves.select("feed", F.explode(F.array("old_path", "new_path")).alias("path")).distinct()
+    mine = paths.join(moved, ["feed", "path"], "left_semi")
+    events = mine.select("feed", "file_no", "path", F.lit(None).cast("string").alias("to")).unionByName(moves.select("feed", "file_no", F.col("old_path").alias("path"), F.col("new_path").alias("to")))
 
     def name(p: pd.DataFrame) -> pd.DataFrame:
         ahead: dict[str, str] = {}
         rows = []
         for no, g in sorted(p.groupby("file_no"), key=lambda x: -x[0]):
-            rows += [(r.feed, no, r.path, ahead.get(r.path, r.path)) for r in g[g["to"].isna()].itertuples()]
+            held = sorted(g[g["to"].isna()]["path"], key=lambda x: (ahead.get(x, x) == x, x))
+            taken = set()
+            for path in held:
+                if ahead.get(path, path) in taken:
+                    ahead[path] = f"{path}@{no}"
+                taken.add(ahead.get(path, path))
+                rows.append((g["feed"].iloc[0], no, path, ahead.get(path, path)))
+            # a rename into this file carries names back to the files before it; its old path was no longer in this one
             ahead |= {r.path: ahead.get(r.to, r.to) for r in g[g["to"].notna()].itertuples()}
         return pd.DataFrame(rows, columns=["feed", "file_no", "path", "name"])
 
-    return events.groupBy("feed").applyInPandas(name, "feed string, file_no int, path string, name string")
+    named = events.groupBy("feed").applyInPandas(name, "feed string, file_no int, path string, name string")
+    return paths.join(named, ["feed", "file_no", "path"], "left").select("feed", "file_no", "path", F.coalesce("name", "path").alias("name"))
 
 
 def unite(leaves: DataFrame, changes: DataFrame) -> DataFrame:
-    """One consistent table: ``feed``, ``file_no``, ``line_no``, ``fields`` (name to text), ``kinds`` (name to the type it is cast to).
+    """One consistent table: ``feed``, ``file_no``, ``line_no``, ``fields`` (name to value), ``kinds`` (name to the type it is cast to), ``record`` (JSON object of the cast values).
 
-    A name whose values have one type keeps it; one with several is cast to string. Repeated lines
+    A name whose values have one type in all files of a feed keeps it; one with several is cast to string. ``fields`` holds the values
+    as text, ``record`` as what they are cast to. Repeated lines
     stay as they are; a line number that occurs twice in a file is one record, its greatest values standing.
     """
     named = leaves.join(canonical_names(leaves, changes), ["feed", "file_no", "path"])
@@ -260,4 +292,6 @@ def unite(leaves: DataFrame, changes: DataFrame) -> DataFrame:
     entry = F.array_sort(F.collect_list(F.struct("name", "value", "cast_to")))
     rows = cells.groupBy("feed", "file_no", "line_no").agg(entry.alias("e"))
     pick = lambda f: F.map_from_entries(F.transform("e", lambda x: F.struct(x["name"], x[f])))
-    return rows.select("feed", "file_no", "line_no", pick("value").alias("fields"), pick("cast_to").alias("kinds"))
+    quoted = lambda x: F.regexp_extract(F.to_json(F.array(x)), r"(?s)^\[(.*)\]$", 1)
+    typed = F.transform("e", lambda x: F.concat(quoted(x["name"]), F.lit(":"), F.when(x["cast_to"] == "string", quoted(x["value"])).otherwise(x["value"])))
+    return rows.select("feed", "file_no", "line_no", pick("value").alias("fields"), pick("cast_to").alias("kinds"), F.concat(F.lit("{"), F.array_join(typed, ","), F.lit("}")).alias("record"))

@@ -176,6 +176,7 @@ P4_COLUMNS_SQL = "with r as (select distinct * from daily_stats where feed is no
 def _feed_leaves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     lines = table(spark, sf_dir, "feed_lines").select("feed", "file_no", "line_no", "payload")
     leaves = schema_drift.read_leaves(spread(lines), "feed", "file_no", "line_no", "payload", ["day", "domain"])
+    leaves = checkpoint(leaves)  # parsed once, read for the schemas and for the values
     return leaves, lines.select("feed", "file_no").distinct()
 
 
@@ -184,11 +185,16 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema_drift.schema_changes(*_feed_leaves(spark, sf_dir)).drop("score")
 
 
+def p5_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every removed and added path of consecutive files with its flooding score, and whether it is selected."""
+    return schema_drift.candidates(schema_drift.path_changes(*_feed_leaves(spark, sf_dir)))
+
+
 def p5_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All files of all feeds as one consistent table."""
     leaves, files = _feed_leaves(spark, sf_dir)
     t = schema_drift.unite(leaves, schema_drift.schema_changes(leaves, files))
-    return t.select("feed", "file_no", "line_no", F.to_json("fields").alias("fields"), F.to_json("kinds").alias("kinds"))
+    return t.select("feed", "file_no", "line_no", "record", F.to_json("kinds").alias("kinds"))
 
 
 ARRAYS = ["robots.namedTokens", "robots.groups.agents", "robots.groups.disallow", "robots.groups.allow", "structured.jsonLdTypes", "structured.nodes.types", "content.landmarks"]
@@ -220,7 +226,7 @@ def p6_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p3_found": p3_found, "p3_merged": p3_merged, "p4_found": p4_found, "p4_profile": p4_profile, "p4_columns": p4_columns, "p4_discrimination": p4_discrimination, "p5_found": p5_found, "p5_table": p5_table,
+    "p3_found": p3_found, "p3_merged": p3_merged, "p4_found": p4_found, "p4_profile": p4_profile, "p4_columns": p4_columns, "p4_discrimination": p4_discrimination, "p5_found": p5_found, "p5_candidates": p5_candidates, "p5_table": p5_table,
     "p6_found": p6_found, "p6_tables": p6_tables, "p7_found": p7_found,
 }
 ORACLE = {"p3_found": P3_SQL, "p3_merged": P3_SQL, "p4_found": P4_SQL, "p4_profile": P4_PROFILE_SQL, "p4_columns": P4_COLUMNS_SQL, "p7_found": P7_SQL}
