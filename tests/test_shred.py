@@ -76,9 +76,6 @@ def test_deep_reader_reads_what_the_plain_one_does():
                 read(raw)
 
 
-def test_a_wide_record_is_put_out_in_parts(spark, monkeypatch):
-    from tidemark.operators import shred as module
-
-    monkeypatch.setattr(module, "FLUSH", 100)
+def test_a_wide_record_is_put_out_in_parts(spark):
     raw = json.dumps({"obs": {"g": [{"a": ["v" * 30] * 50}]}})
-    assert shred(spark.createDataFrame([(1, raw)], "id bigint, raw string"), "id", "raw", arrays=ARRAYS, paths=["obs.g.a"]).where("element").count() == 50
+    assert shred(spark.createDataFrame([(1, raw), (2, raw)], "id bigint, raw string").coalesce(1), "id", "raw", arrays=ARRAYS, paths=["obs.g.a"], flush=100).where("element").groupBy("record_id").count().where("count = 50").count() == 2

@@ -187,7 +187,7 @@ def label_nodes(record, arrays: frozenset, texts: frozenset, wanted: frozenset |
                     stack.append((x, below, (*label, i), False))
 
 
-def shred(df: DataFrame, record_id: str, raw: str, *, arrays: Sequence[str] = (), texts: Sequence[str] = (), paths: Sequence[str] | None = None) -> DataFrame:
+def shred(df: DataFrame, record_id: str, raw: str, *, arrays: Sequence[str] = (), texts: Sequence[str] = (), paths: Sequence[str] | None = None, flush: int = FLUSH) -> DataFrame:
     """Nodes: ``record_id``, ``label`` (array<int>), ``path``, ``kind``, ``value`` (text), ``element`` (of an array).
 
     ``arrays``: paths where an array is usual; a single value there counts as an array of one, so
@@ -195,7 +195,7 @@ def shred(df: DataFrame, record_id: str, raw: str, *, arrays: Sequence[str] = ()
     says. ``paths``: the paths wanted (all if None). Elements that are null are nodes of kind null
     and keep their position; numbers are given as written; an object or array within a wanted array
     is given as compact JSON (not if all paths are wanted: its own nodes say what it holds). Null, empty and unreadable texts
-    give nothing, like a scalar at the root. No depth is refused; labels are as long as a node is deep.
+    give nothing, like a scalar at the root. A task holds nodes of about ``flush`` characters and ordinals beside the record. No depth is refused; labels are as long as a node is deep.
     Rows equal in id and text count once; rows of one id with different texts are read each.
     """
     one = df.select(F.col(record_id).alias("record_id"), F.col(raw).cast("string").alias("raw")).where(F.col("raw").isNotNull()).distinct()
@@ -225,7 +225,7 @@ def shred(df: DataFrame, record_id: str, raw: str, *, arrays: Sequence[str] = ()
                         of.append(i)
                         found.append(node)
                         held += len(node[0]) + len(node[1]) + len(node[3] or "")
-                        if held >= FLUSH:
+                        if held >= flush:
                             yield put()
                             of, found, held = [], [], 0
             if found:
