@@ -1,6 +1,6 @@
 import numpy as np
 
-from tidemark.llm.mixing import exponent_for_entropy, plan_mix, plan_shares, realise, tempered
+from tidemark.llm.mixing import beyond_limit, entropy, exponent_for_entropy, plan_mix, plan_shares, realise, tempered
 
 TARGETS = "mix_id string, source string, weight double, max_repeats int, budget_tokens bigint, label string, planned int"
 
@@ -20,7 +20,7 @@ def test_feasible_mix_keeps_its_targets_and_budget(spark):
     d, t, plan = setup(spark, [("m", " A ", 3.0, 4, 3000), ("m", "b", 1.0, 1, 3000)], DOCS)
     p = {r.label: r for r in plan.collect()}
     assert p["a"].exponent == 0 and (p["a"].planned, p["b"].planned) == (2250, 750) and not p["a"].over_cap
-    got = realise(d, plan, t).collect()
+    got = realise(d, plan).collect()
     used = {s: sum(r.tokens * r.repeats for r in got if r.source == s) for s in "ab"}
     assert 2250 - 50 < used["a"] <= 2250 and 750 - 10 < used["b"] <= 750
     assert max(r.repeats for r in got) == 1 and len({r.doc_id for r in got}) == len(got)
@@ -28,7 +28,7 @@ def test_feasible_mix_keeps_its_targets_and_budget(spark):
 
 def test_passes_and_caps(spark):
     d, t, plan = setup(spark, [("m", "b", 1.0, 3, 2500)], DOCS)
-    got = realise(d, plan, t).collect()
+    got = realise(d, plan).collect()
     assert sum(r.tokens * r.repeats for r in got) == 2500 and {r.repeats for r in got} == {2, 3} and len(got) == 100
 
 
@@ -38,7 +38,7 @@ def test_over_cap_is_flagged_and_tempered(spark):
     assert p["m", "b"].over_cap and not p["m", "a"].over_cap and 0 < p["m", "b"].exponent < 1
     assert p["m", "b"].planned <= 2000 and p["m", "b"].planned >= 1998 and p["m", "a"].planned + p["m", "b"].planned >= 5998
     assert p["z", "none"].over_cap and not p["z", "a"].over_cap and p["z", "none"].planned == 0
-    got = realise(d, plan, t).collect()
+    got = realise(d, plan).collect()
     assert all(r.repeats <= 4 for r in got) and all(r.tokens > 0 for r in got)
 
 
@@ -48,9 +48,9 @@ def test_nulls_repeats_and_empty(spark):
     p = sorted(plan.collect(), key=str)
     assert len(p) == 3 and {r.source: r.wanted for r in p}["a"] == 50
     d, t, plan = setup(spark, [], DOCS)
-    assert plan.count() == 0 and realise(d, plan, t).count() == 0
+    assert plan.count() == 0 and realise(d, plan).count() == 0
     d, t, plan = setup(spark, rows[:1], [])
-    assert [r.over_cap for r in plan.collect()] == [True] and realise(d, plan, t).count() == 0
+    assert [r.over_cap for r in plan.collect()] == [True] and realise(d, plan).count() == 0
 
 
 def test_shares_and_entropy():
@@ -95,3 +95,19 @@ def test_an_exponent_within_fits_though_natural_shares_do_not():
     limit = np.multiply(a, c)
     fits = [x for x in np.linspace(0, 1, 2001) if (tempered(np.array(w), np.array(a) / 10_000, x) * budget <= limit).all()]
     assert fits and 0 < fits[0] < 1 and abs(t - fits[0]) < 1e-3 and abs(planned.sum() - budget) < 1e-6
+
+
+def test_shares_at_exponent_0_are_the_targets_and_flag_what_exceeds_its_cap():
+    target, natural = np.array([0.5, 0.3, 0.2]), np.array([0.9, 0.1, 0.0])
+    assert tempered(target, natural, 0).tolist() == target.tolist()
+    assert beyond_limit(target, natural, np.array([50.0, 30.0, 0.0]), 100, 0.0).tolist() == [False, False, True]
+    assert beyond_limit(target, natural, np.array([50.0, 29.9, 0.0]), 100, 0.0).tolist() == [False, True, True]
+
+
+def test_mix_by_entropy(spark):
+    d, t, _ = setup(spark, [("m", "a", 3.0, 9, 1000), ("m", "b", 1.0, 9, 1000), ("m", "none", 2.0, 9, 1000), ("z", "a", 0.0, 1, 10)], DOCS)
+    sizes = d.groupBy("source").sum("tokens").withColumnRenamed("sum(tokens)", "available")
+    p = {(r.mix_id, r.label): r for r in plan_mix(sizes, t, by_entropy=True).collect()}
+    share = np.array([p["m", "a"].wanted, p["m", "b"].wanted]) / 1000
+    assert abs(share.sum() - 1) < 1e-9 and share[0] > share[1] and p["m", "none"].wanted == 0 == p["z", "a"].wanted
+    assert abs(entropy(share) - entropy(np.array([0.75, 0.25]))) < 1e-6

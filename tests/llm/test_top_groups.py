@@ -43,3 +43,11 @@ def test_bound_prunes_ties(spark):
 def test_clashing_name_is_refused(spark):
     with pytest.raises(ValueError):
         top_n(spark.createDataFrame([(1, 2)], "g int, pos int"), ["g"], [("pos", True)], 1)
+
+
+def test_least_numbers_and_maps(spark):
+    df = spark.createDataFrame([(1, -(2**63), -(2**31), {"a": 1}), (1, 2**63 - 1, 0, {"b": 2}), (1, None, 5, None), (1, -(2**63), -(2**31), {"a": 2})], "g int, a bigint, b int, m map<string,int>")
+    got = [(r.a, r.b) for r in top_n(df, ["g"], [("a", True), ("b", True)], 4).orderBy("pos").collect()]
+    assert got == [(2**63 - 1, 0), (-(2**63), -(2**31)), (-(2**63), -(2**31)), (None, 5)]
+    d = spark.createDataFrame([(1, 0.5), (1, float("-inf")), (1, None), (1, 7.25)], "g int, a double")
+    assert [r.a for r in top_n(d, ["g"], [("a", True)], 3).orderBy("pos").collect()] == [7.25, 0.5, float("-inf")]

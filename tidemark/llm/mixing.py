@@ -19,12 +19,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCKS = 4096
-SMALL_ROWS = 100_000
 STEPS = 60
 
 
 def tempered(base: np.ndarray, to: np.ndarray, t: float) -> np.ndarray:
-    """Shares proportional to base * (to / base) ** t; a share of 0 in either stays 0."""
+    """Shares proportional to base * (to / base) ** t; at 0 they are ``base``, beyond it a share of 0 in either stays 0."""
+    if t == 0:
+        return base / base.sum() if base.sum() else np.zeros(len(base))
     ok = (base > 0) & (to > 0)
     logs = np.where(ok, (1 - t) * np.log(np.where(ok, base, 1)) + t * np.log(np.where(ok, to, 1)), -np.inf)
     if not ok.any():
@@ -56,13 +57,18 @@ def exponent_for_entropy(sizes: Sequence[float], target: float) -> float:
     return (lo + hi) / 2
 
 
+def beyond_limit(target: np.ndarray, natural: np.ndarray, limit: np.ndarray, budget, t: float, slack: float = 0.0) -> np.ndarray:
+    """The repetition limit that the exponent is searched for: which sources the shares at exponent ``t`` would repeat beyond their cap."""
+    return tempered(target, natural, t) * budget > limit * (1 + slack)
+
+
 def _least_exponent(target: np.ndarray, natural: np.ndarray, limit: np.ndarray, budget: float) -> float | None:
     """The least exponent in [0, 1] at which no source's share of the budget exceeds its limit, or None.
 
     The exponents at which one source exceeds its limit are a single interval (the logarithm of a
     tempered share is concave in t), so the end of each one in the way is passed once.
     """
-    over = lambda t: tempered(target, natural, t) * budget > limit * (1 + 1e-12)
+    over = lambda t: beyond_limit(target, natural, limit, budget, t, 1e-12)
     t = 0.0
     for _ in range(len(target) + 1):
         bad = over(t)
@@ -82,6 +88,7 @@ def _least_exponent(target: np.ndarray, natural: np.ndarray, limit: np.ndarray,
 def plan_shares(weights: Sequence[float], available: Sequence[float], caps: Sequence[float], budget: float) -> tuple[float, np.ndarray]:
     """Exponent and planned tokens of one mix's sources; sums to less than the budget only if the caps leave no more.
 
+    At exponent 0 the shares are the targets; if no source is ``beyond_limit`` there, they are the plan.
     Where no exponent fits, the sources whose target exceeds their limit get the limit, and the others share the rest
     of the budget in the same way: by their targets, tempered where these don't fit. The exponent is that
     of the sources below their limit, 1 if there are none.
@@ -93,7 +100,7 @@ def plan_shares(weights: Sequence[float], available: Sequence[float], caps: Sequ
     if not w.sum() or not budget > 0:
         return 0.0, planned
     target = w / w.sum()
-    if (target * budget <= limit).all():
+    if not beyond_limit(target, a, limit, budget, 0.0).any():
         return 0.0, target * budget
     room = (target > 0) & (limit > 0)
     if limit[room].sum() <= budget:
@@ -111,14 +118,17 @@ def plan_shares(weights: Sequence[float], available: Sequence[float], caps: Sequ
     return 1.0, planned
 
 
-def plan_mix(sizes: DataFrame, targets: DataFrame) -> DataFrame:
+def plan_mix(sizes: DataFrame, targets: DataFrame, by_entropy: bool = False) -> DataFrame:
     """The plan of every mix: a row for each target.
 
+    ``by_entropy``: the targets are the sources' sizes to a power that is bisected until their entropy is that of the weights of the
+    mix (sources of weight 0 stay out); where the power of 1 still has more, the natural shares stand.
+
     ``sizes``: ``source``, ``available`` (tokens), one row a source. ``targets``: ``mix_id``, ``source``, ``weight``,
     ``max_repeats``, ``budget_tokens``; repeated rows count once, null or negative weights, caps and
     budgets are 0, a source without a size has 0 tokens. Result: the target row with ``label`` (the source as sizes spells it),
-    ``available``, ``wanted`` (target share of the budget), ``over_cap`` (wanted exceeds max_repeats * available),
-    ``exponent``, ``planned`` (tokens after tempering).
+    ``available``, ``wanted`` (target share of the budget), ``over_cap`` (the shares at exponent 0 are beyond the source's repetition
+    limit, max_repeats * available), ``exponent``, ``planned`` (tokens after tempering).
     """
     t = targets.select("mix_id", "source", "weight", "max_repeats", "budget_tokens").distinct().withColumn("label", F.lower(F.trim("source")))
     s = sizes.select(F.col("source").alias("__s"), "available")
@@ -129,25 +139,31 @@ def plan_mix(sizes: DataFrame, targets: DataFrame) -> DataFrame:
         w = p["weight"].fillna(0).clip(lower=0).to_numpy(float)
         cap = p["max_repeats"].fillna(0).clip(lower=0).to_numpy(float)
         budgets = p["budget_tokens"].fillna(0).clip(lower=0).to_numpy(float)
+        size = p["available"].to_numpy(float)
+        if by_entropy and w.sum():
+            some = (w > 0) & (size > 0)
+            power = exponent_for_entropy(size[some], entropy(w[some] / w[some].sum()) if some.any() else 0)
+            w = np.where(some, np.where(some, size, 1) ** power, 0)
         total = w.sum()
-        wanted = w / total * budgets if total else np.zeros(len(w))
-        t, planned = plan_shares(w, p["available"], cap, budgets.max() if len(p) else 0)
-        return p.assign(wanted=wanted, over_cap=wanted > cap * p["available"].to_numpy(float), exponent=t, planned=np.floor(planned).astype("int64"))
+        target = w / total if total else w
+        natural = size / size.sum() if size.sum() else size
+        t, planned = plan_shares(w, size, cap, budgets.max() if len(p) else 0)
+        over = beyond_limit(target, natural, cap * size, budgets, 0.0)
+        return p.assign(wanted=target * budgets, over_cap=over, exponent=t, planned=np.floor(planned).astype("int64"))
 
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema.fields)}, wanted double, over_cap boolean, exponent double, planned bigint"
     return rows.groupBy("mix_id").applyInPandas(plan, schema)
 
 
-def realise(docs: DataFrame, plan: DataFrame, targets: DataFrame) -> DataFrame:
+def realise(docs: DataFrame, plan: DataFrame) -> DataFrame:
     """The mixes themselves: ``mix_id``, ``source`` (label), ``doc_id``, ``tokens``, ``repeats`` (times the document is taken).
 
     ``docs``: ``doc_id``, ``source``, ``tokens``. The last pass takes documents in a hash order of mix,
     source and document while they fit the budget, so it falls short by less than one document.
-    Documents without tokens add nothing to a mix and are in none.
+    Documents without tokens add nothing to a mix and are in none. Documents meet the plan in a plain join on the source: AQE
+    broadcasts the plan if its bytes are few and splits hot sources if not.
     """
     p = plan.where("planned > 0 and available > 0").groupBy("mix_id", "label").agg(F.sum("planned").alias("planned"), F.max("available").alias("available"))
-    if targets.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:  # the plan has at most a row for each target
-        p = F.broadcast(p)
     rows = docs.where("tokens > 0").join(p, F.col("source") == F.col("label")).select("mix_id", "source", "doc_id", "tokens", "planned", "available")
     rows = rows.withColumn("passes", F.floor(F.col("planned") / F.col("available"))).withColumn("rest", F.col("planned") - F.col("passes") * F.col("available"))
     rows = rows.withColumn("at", F.xxhash64("mix_id", "source", "doc_id")).withColumn("block", F.pmod("at", F.lit(BLOCKS)))

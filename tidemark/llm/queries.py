@@ -95,12 +95,12 @@ union all select vantage, network, platform, 'percentile_p50' from p where p50 <
 
 
 def p2_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles with their error bound from sketches kept by day, combined over all days."""
+    """Percentiles from sketches kept by day, combined over all days, each with the error bound of its rank (a share of n)."""
     parts = req_sketch.build_sketches(_measured(spark, sf_dir, "day"), ["kind", *COHORT, "day"], "value")
     days = req_sketch.merge_sketches(parts, ["kind", *COHORT, "day"]).withColumn("part", F.datediff("day", F.lit("1970-01-01")))
     whole = req_sketch.merge_sketches(days, ["kind", *COHORT])
-    q = whole.select("kind", *COHORT, "n", req_sketch.quantiles(whole, [0.5, 0.9, 0.99]).alias("q"), req_sketch.rank_error(whole).alias("rank_error"))
-    return q.select("kind", *COHORT, "n", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p90"), F.col("q")[2].alias("p99"), "rank_error")
+    q = whole.select("kind", *COHORT, "n", req_sketch.quantiles(whole, [0.5, 0.9, 0.99]).alias("q"), req_sketch.quantile_errors(whole, [0.5, 0.9, 0.99]).alias("e"))
+    return q.select("kind", *COHORT, "n", *[F.col(c)[i].alias(f"p{x}{name}") for i, x in enumerate((50, 90, 99)) for c, name in (("q", ""), ("e", "_error"))])
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,15 +149,15 @@ def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixes: which documents each takes, and how often."""
     targets = table(spark, sf_dir, "mix_targets")
     docs = checkpoint(_sized_documents(spark, sf_dir))
-    return mixing.realise(docs, mixing.plan_mix(_sizes(docs), targets), targets)
+    return mixing.realise(docs, checkpoint(mixing.plan_mix(_sizes(docs), targets)))
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target, planned and actual share of every source in every mix, with the repetitions made."""
     targets = table(spark, sf_dir, "mix_targets")
     docs = checkpoint(_sized_documents(spark, sf_dir))
-    plan = mixing.plan_mix(_sizes(docs), targets)
-    got = mixing.realise(docs, plan, targets).groupBy("mix_id", "source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("actual"), F.max("repeats").alias("repeats"))
+    plan = checkpoint(mixing.plan_mix(_sizes(docs), targets))
+    got = mixing.realise(docs, plan).groupBy("mix_id", "source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("actual"), F.max("repeats").alias("repeats"))
     rows = plan.join(got.withColumnRenamed("source", "label"), ["mix_id", "label"], "left")
     total = Window.partitionBy("mix_id")
     share = lambda c: F.coalesce(F.try_divide(F.col(c), F.sum(c).over(total)), F.lit(0.0))
@@ -166,8 +166,14 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p9_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mixes whose shares are the sources' sizes to the power at which they are as even as the mix's weights."""
+    plan = mixing.plan_mix(_sizes(_sized_documents(spark, sf_dir)), table(spark, sf_dir, "mix_targets"), by_entropy=True)
+    return plan.select("mix_id", "source", "wanted", "over_cap", "exponent", "planned")
+
+
 QUERIES = {
-    "p1_found": p1_found, "p2_found": p2_found, "p2_days": p2_days, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_found": p9_found, "p9_mix": p9_mix, "p9_shares": p9_shares,
+    "p1_found": p1_found, "p2_found": p2_found, "p2_days": p2_days, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_found": p9_found, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_entropy": p9_entropy,
     "p10_found": p10_found, "p10_amount": p10_amount, "p10_spans": p10_spans,
 }
 ORACLE = {"p1_found": P1_SQL, "p2_found": P2_SQL}

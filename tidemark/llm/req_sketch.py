@@ -6,13 +6,16 @@ the protected tail keep exact ranks and rank error grows only with the distance
 Sections double and shrink as a level compacts more often, which makes the error relative to the
 rank. Sketches of partitions, days or earlier sketches merge by merging their levels.
 
-Every compaction of weight w at a level moves the rank of any value by -w, 0 or +w, so the sketch
-also carries its own guarantee: ``error`` is the sum of w*w (the variance bound), from which
-``rank_error`` gives three standard deviations as a share of n.
+Every compaction of weight w at a level moves the rank of a value within what it compacts by -w, 0 or +w, that of a
+value beyond it not at all. So the sketch also carries its own guarantee: for each level the number of
+compactions and how far towards the protected tail they reached, from which ``rank_error`` gives three standard
+deviations as a share of n: of any rank, or of that of a value, which is far less near the protected tail.
+Coins are random and alternate: a level's second compaction takes the values that its first would have left.
 """
 
 from __future__ import annotations
 
+import random
 import struct
 from collections.abc import Iterator, Sequence
 
@@ -25,15 +28,27 @@ from pyspark.sql import types as T
 
 SECTION = 32
 PENDING = 1 << 18
+#: A task puts out its partial sketches and begins anew when they hold about so many bytes.
+HELD_BYTES = 64 << 20
 
 
 class ReqSketch:
     """Quantile sketch with high accuracy at the upper end (``high=True``) or the lower end."""
 
-    def __init__(self, k: int = SECTION, high: bool = True):
-        self.k, self.high, self.n, self.error = k, high, 0, 0.0
+    def __init__(self, k: int = SECTION, high: bool = True, seed: object = 0):
+        self.k, self.high, self.n = k, high, 0
         self.levels: list[np.ndarray] = [np.empty(0)]
         self.state = [0]
+        self.times, self.reach = [0], [-np.inf if high else np.inf]  # compactions of a level, and the value nearest the protected tail in any
+        self.coins: dict[int, int] = {}
+        self.random = random.Random(repr(seed))
+
+    def _level(self, h: int) -> None:
+        if h == len(self.levels):
+            self.levels.append(np.empty(0))
+            self.state.append(0)
+            self.times.append(0)
+            self.reach.append(-np.inf if self.high else np.inf)
 
     def _sections(self, h: int) -> tuple[int, int]:
         """Section size (even) and number of sections of level h after its compactions so far."""
@@ -57,13 +72,13 @@ class ReqSketch:
     def merge(self, other: "ReqSketch") -> None:
         """Merges another sketch's levels into this one."""
         self.n += other.n
-        self.error += other.error
+        farther = max if self.high else min
         for h, v in enumerate(other.levels):
-            if h == len(self.levels):
-                self.levels.append(np.empty(0))
-                self.state.append(0)
+            self._level(h)
             self.levels[h] = np.concatenate((self.levels[h], v))
             self.state[h] |= other.state[h]
+            self.times[h] += other.times[h]
+            self.reach[h] = farther(self.reach[h], other.reach[h])
         self._compress()
 
     def _compress(self) -> None:
@@ -85,15 +100,16 @@ class ReqSketch:
         if not self.high:
             v = v[::-1]
         out, rest = v[: len(v) - keep], v[len(v) - keep :]
-        # the coin is a hash of what is compacted: the same data give the same sketch
-        coin = hash((h, self.state[h], self.n, float(out[0]), float(out[-1]))) >> 7 & 1
-        if h + 1 == len(self.levels):
-            self.levels.append(np.empty(0))
-            self.state.append(0)
+        coin = self.coins.pop(h, None)
+        if coin is None:
+            coin = self.random.getrandbits(1)
+            self.coins[h] = 1 - coin
+        self._level(h + 1)
         self.levels[h + 1] = np.concatenate((self.levels[h + 1], out[coin::2]))
         self.levels[h] = rest
         self.state[h] += 1
-        self.error += 4.0**h
+        self.times[h] += 1
+        self.reach[h] = max(self.reach[h], float(out[-1])) if self.high else min(self.reach[h], float(out[-1]))
 
     def quantile(self, q: float) -> float | None:
         """The least value whose estimated rank is at least q*n; None if empty."""
@@ -109,24 +125,30 @@ class ReqSketch:
         """Estimated number of values <= x."""
         return float(sum(2.0**h * np.count_nonzero(v <= x) for h, v in enumerate(self.levels)))
 
+    def rank_error(self, x: float | None = None) -> float:
+        """Three standard deviations of the error of the rank of ``x`` (of any value if None), as a share of n; 0 while nothing was compacted there."""
+        touched = lambda r: x is None or (x <= r if self.high else x >= r)
+        return 3 * sum(t * 4.0**h for h, (t, r) in enumerate(zip(self.times, self.reach)) if t and touched(r)) ** 0.5 / self.n if self.n else 0.0
+
     @property
-    def rank_error(self) -> float:
-        """Three standard deviations of the rank error, as a share of n; 0 while nothing was compacted."""
-        return 3 * self.error**0.5 / self.n if self.n else 0.0
+    def bytes(self) -> int:
+        """About what the sketch holds in memory."""
+        return 1024 + sum(96 + 8 * len(v) for v in self.levels)
 
     def to_bytes(self) -> bytes:
-        head = struct.pack("<HBqdH", self.k, self.high, self.n, self.error, len(self.levels))
-        return head + b"".join(struct.pack("<qi", s, len(v)) for s, v in zip(self.state, self.levels)) + b"".join(v.tobytes() for v in self.levels)
+        head = struct.pack("<HBqH", self.k, self.high, self.n, len(self.levels))
+        return head + b"".join(struct.pack("<qqdi", s, t, r, len(v)) for s, t, r, v in zip(self.state, self.times, self.reach, self.levels)) + b"".join(v.tobytes() for v in self.levels)
 
     @classmethod
-    def from_bytes(cls, b: bytes) -> "ReqSketch":
-        k, high, n, error, count = struct.unpack_from("<HBqdH", b)
-        s = cls(k, bool(high))
-        s.n, s.error, at = n, error, struct.calcsize("<HBqdH")
-        head = [struct.unpack_from("<qi", b, at + 12 * i) for i in range(count)]
-        at += 12 * count
-        s.state, s.levels = [x for x, _ in head], []
-        for _, size in head:
+    def from_bytes(cls, b: bytes, seed: object = 0) -> "ReqSketch":
+        k, high, n, count = struct.unpack_from("<HBqH", b)
+        s = cls(k, bool(high), seed)
+        at, each = struct.calcsize("<HBqH"), struct.calcsize("<qqdi")
+        head = [struct.unpack_from("<qqdi", b, at + each * i) for i in range(count)]
+        at += each * count
+        s.n, s.levels = n, []
+        s.state, s.times, s.reach = ([x[i] for x in head] for i in range(3))
+        for *_, size in head:
             s.levels.append(np.frombuffer(b, np.float64, size, at))
             at += 8 * size
         return s
@@ -153,11 +175,12 @@ def _codes(batch: pa.RecordBatch, groups: int) -> tuple[np.ndarray, list[tuple]]
     return inv, keys
 
 
-def build_sketches(df: DataFrame, group: Sequence[str], value: str, *, k: int = SECTION, high: bool = True) -> DataFrame:
-    """Partial sketches: ``group`` columns, ``part``, ``n``, ``sketch`` (binary), several rows a group (one a partition).
+def build_sketches(df: DataFrame, group: Sequence[str], value: str, *, k: int = SECTION, high: bool = True, pending_rows: int = PENDING, held_bytes: int = HELD_BYTES) -> DataFrame:
+    """Partial sketches: ``group`` columns, ``part``, ``n``, ``sketch`` (binary), several rows a group (one or more a partition).
 
     Null and NaN values are no values; a group without values has no row. Null group keys form a
-    group. A task holds one bounded sketch for each group it meets and a bounded run of raw values.
+    group. A task holds at most ``held_bytes`` of sketches, however many groups it meets, and ``pending_rows`` raw values:
+    beyond that it puts out what it has, since partial sketches of a group merge.
     ``df`` may have any other columns.
     """
     slim = df.where(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("__v"))
@@ -177,10 +200,18 @@ def build_sketches(df: DataFrame, group: Sequence[str], value: str, *, k: int =
             for key, xs in raw.items():
                 s = held.get(key)
                 if s is None:
-                    s = held[key] = ReqSketch(k, high)
+                    s = held[key] = ReqSketch(k, high, (key, part))
                 s.add(np.concatenate(xs))
             raw.clear()
 
+        def put(schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+            rows = [(key, s) for key, s in held.items() if s.n]
+            if rows:
+                cols = [pa.array([key[i] for key, _ in rows], schema.field(i).type) for i in range(width)]
+                cols += [pa.array([part] * len(rows), pa.int32()), pa.array([s.n for _, s in rows], pa.int64()), pa.array([s.to_bytes() for _, s in rows], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=[*group, "part", "n", "sketch"])
+            held.clear()
+
         schema = None
         for b in batches:
             schema = b.schema
@@ -193,15 +224,13 @@ def build_sketches(df: DataFrame, group: Sequence[str], value: str, *, k: int =
             for i, key in enumerate(keys):
                 raw.setdefault(key, []).append(v[ends[i] : ends[i + 1]])
             pending += b.num_rows
-            if pending >= PENDING:
+            if pending >= pending_rows:
                 flush()
                 pending = 0
+                if sum(s.bytes for s in held.values()) > held_bytes:
+                    yield from put(schema)
         flush()
-        rows = [(key, s) for key, s in held.items() if s.n]
-        if rows:
-            cols = [pa.array([key[i] for key, _ in rows], schema.field(i).type) for i in range(width)]
-            cols += [pa.array([part] * len(rows), pa.int32()), pa.array([s.n for _, s in rows], pa.int64()), pa.array([s.to_bytes() for _, s in rows], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=[*group, "part", "n", "sketch"])
+        yield from put(schema)
 
     return slim.mapInArrow(build, out)
 
@@ -219,7 +248,7 @@ def merge_sketches(sketches: DataFrame, group: Sequence[str], *, fan: int = 64)
             for b in batches:
                 cols = [b.column(i).to_pylist() for i in range(len(names))]
                 for *key, raw in zip(*cols, b.column(len(names)).to_pylist()):
-                    s = ReqSketch.from_bytes(raw)
+                    s = ReqSketch.from_bytes(raw, key)
                     if total is not None and key == last:
                         total.merge(s)
                         continue
@@ -257,10 +286,12 @@ def quantiles(sketches: DataFrame, qs: Sequence[float]) -> Column:
     return read(sketches["sketch"])
 
 
-def rank_error(sketches: DataFrame) -> Column:
-    """The sketch's own error bound as a share of n."""
-    @F.pandas_udf("double")
+def quantile_errors(sketches: DataFrame, qs: Sequence[float]) -> Column:
+    """For each of the quantiles ``qs`` the sketch's own bound of the error of its rank, as a share of n."""
+    qs = list(qs)
+
+    @F.pandas_udf("array<double>")
     def read(s: pd.Series) -> pd.Series:
-        return s.map(lambda b: ReqSketch.from_bytes(b).rank_error)
+        return s.map(lambda b: [(k := ReqSketch.from_bytes(b)).rank_error(k.quantile(q)) for q in qs])
 
     return read(sketches["sketch"])

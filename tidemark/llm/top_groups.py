@@ -14,20 +14,22 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def _ascending(c: Column, descending: bool) -> list[Column]:
+def _ascending(c: Column, kind: T.DataType, descending: bool) -> list[Column]:
     """Sort keys, least first, nulls last, that compare as structs do."""
-    if descending:
-        return [c.isNull(), -c]
-    return [c.isNull(), c]
+    if not descending:
+        return [c.isNull(), c]
+    # ~x is -x - 1: it turns the order of whole numbers and has no overflow
+    return [c.isNull(), F.bitwise_not(c) if isinstance(kind, T.IntegralType) else -c]
 
 
 def top_n(df: DataFrame, group: Sequence[str], order: Sequence[tuple[str, bool]], n: int) -> DataFrame:
     """``df``'s first ``n`` rows of every group, with their position ``pos`` from 1.
 
     ``order`` lists (column, descending); a descending column must be numeric; nulls come last
-    either way. Rows equal in all of ``order`` are told apart by a hash of the whole row, so the
+    either way. Rows equal in all of ``order`` are told apart by a 128-bit hash of the whole row, so the
     result is the same on every run; identical rows fill positions of their own. Null group keys
     form a group. An input column named ``pos`` would clash and is refused.
     """
@@ -36,10 +38,11 @@ def top_n(df: DataFrame, group: Sequence[str], order: Sequence[tuple[str, bool]]
     inner = {c: f"c{i}" for i, c in enumerate(df.columns)}  # so that no input name clashes with one used here
     own = df.toDF(*inner.values())
     keys = [f"g{i}" for i in range(len(group))]
-    parts = [x for name, desc in order for x in _ascending(F.col(inner[name]), desc)]
-    names = [f"s{i}" for i in range(len(parts))] + ["h"]
-    hashed = [c for c in own.columns if "map<" not in own.schema[c].dataType.simpleString()]
-    whole = F.struct(*[p.alias(a) for p, a in zip([*parts, F.xxhash64(*hashed)], names)])
+    parts = [x for name, desc in order for x in _ascending(F.col(inner[name]), df.schema[name].dataType, desc)]
+    names = [f"s{i}" for i in range(len(parts))] + ["h", "i"]
+    # maps have no hash: their text stands for them
+    hashed = [F.to_json(F.struct(c)) if "map<" in own.schema[c].dataType.simpleString() else F.col(c) for c in own.columns]
+    whole = F.struct(*[p.alias(a) for p, a in zip([*parts, F.xxhash64(*hashed), F.xxhash64(F.lit(1), *hashed)], names)])
     rows = own.withColumns({"o": whole, **{k: F.col(inner[g]) for k, g in zip(keys, group)}})
     local = Window.partitionBy("part", *keys).orderBy("o")
     bounds = rows.select(*keys, "o", F.spark_partition_id().alias("part")).withColumn("n", F.row_number().over(local)).where(F.col("n") <= n).where(F.col("n") == n)
