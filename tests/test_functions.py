@@ -75,7 +75,7 @@ def test_stubs(spark):
 def verdict(spark, text, token="OrvexBot", path="/"):
     d = spark.createDataFrame([(1, text)], "id int, text string")
     t = spark.createDataFrame([(token,), (None,)], "token string")
-    return {r.token: r.allowed for r in robots.access(robots.rule_groups(robots.rule_lines(d, "id", "text")), t, path).collect()}.get(token)
+    return {r.token: r.allowed for r in robots.access(robots.rule_groups(robots.rule_lines(d, "id", "text")), t, d.withColumnRenamed("id", "doc_id"), path).collect()}.get(token)
 
 
 @pytest.mark.parametrize(
@@ -91,6 +91,8 @@ def verdict(spark, text, token="OrvexBot", path="/"):
         ("User-agent: a\nSitemap: x\nUser-agent: OrvexBot\nDisallow: /", "/", False),
         ("User-agent: a\n# note\n\nUser-agent: OrvexBot\nDisallow: /", "/", False),
         ("Disallow: /\nUser-agent: OrvexBot\r\nDisallow: /x\r\n", "/", True),
+        ("", "/", True),
+        ("Disallow: /\n# no group", "/", True),
     ],
 )
 def test_robots_rules(spark, text, path, allowed):

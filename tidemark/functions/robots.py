@@ -43,18 +43,27 @@ def longest(rules: Column, path: str) -> Column:
     return F.coalesce(F.array_max(F.transform(rules, lambda r: match_length(r, path))), F.lit(-1))
 
 
-def access(groups: DataFrame, tokens: DataFrame, path: str = "/") -> DataFrame:
-    """``doc_id``, ``token``, ``allowed`` for every document and registered token.
+def access(groups: DataFrame, tokens: DataFrame, docs: DataFrame, path: str = "/") -> DataFrame:
+    """``doc_id``, ``token``, ``allowed`` for every document of ``docs`` (column ``doc_id``) and every token.
 
     The first group that names the token decides, else the first for ``*``; groups of one token aren't
-    merged; the longest match wins, ties go to allow; no group or no matching rule allows. Rules are
-    evaluated once a group; the registry is a fixed list of two dozen tokens, held in the plan.
+    merged; the longest match wins, ties go to allow; no group or no matching rule allows, so a document without
+    any group allows every token. Rules are evaluated once a group; the tokens are one list that a scalar subquery gives.
     """
+    by_doc = verdicts(groups, path)
+    known = tokens.where("token is not null").agg(F.array_sort(F.collect_set("token"))).scalar()
+    every = docs.select("doc_id").distinct().join(by_doc, "doc_id", "left").select("doc_id", "verdicts", F.explode(known).alias("token"))
+    return every.select("doc_id", "token", allowed(F.col("verdicts"), F.col("token")).alias("allowed"))
+
+
+def verdicts(groups: DataFrame, path: str = "/") -> DataFrame:
+    """``doc_id``, ``verdicts``: map from each agent named (lower case, ``*`` included) to what its first group says of ``path``."""
     judged = groups.select("doc_id", "group_no", F.transform("agents", F.lower).alias("agents"), ((longest(F.col("disallow"), path) < 0) | (longest(F.col("allow"), path) >= longest(F.col("disallow"), path))).alias("ok"))
     named = judged.select("doc_id", "group_no", "ok", F.explode(F.array_distinct("agents")).alias("agent"))
     first = named.groupBy("doc_id", "agent").agg(F.min_by("ok", "group_no").alias("ok"))
-    by_doc = first.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("agent", "ok"))).alias("verdicts"))
-    known = [r[0] for r in tokens.select("token").where("token is not null").distinct().sort("token").collect()]
-    verdict = lambda t: F.coalesce(F.try_element_at("verdicts", F.lit(t.lower())), F.try_element_at("verdicts", F.lit("*")), F.lit(True))
-    pairs = F.array(*[F.struct(F.lit(t).alias("token"), verdict(t).alias("allowed")) for t in known])
-    return by_doc.select("doc_id", F.explode(pairs).alias("p")).select("doc_id", "p.token", "p.allowed")
+    return first.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("agent", "ok"))).alias("verdicts"))
+
+
+def allowed(verdicts: Column, token: Column) -> Column:
+    """What a map of ``verdicts`` (null: no groups) says of a token."""
+    return F.coalesce(F.try_element_at(verdicts, F.lower(token)), F.try_element_at(verdicts, F.lit("*")), F.lit(True))

@@ -41,6 +41,8 @@ def tenth(x: str) -> str:
     return f"floor(({x}) * 10 + 0.5) / 10"
 
 
+#: Access is sold: the control request was answered as a demand for payment, whatever the status of the final answer.
+METERED = "coalesce(control.kind = 'payment-required', false)"
 TEXT = "greatest(coalesce(content.ssr_text_length, 0), 0)"
 STUB = (
     f"(coalesce(cloaking.browser_bytes, 0) > 0 and cloaking.browser_bytes < {STUB_BYTES} and ({TEXT} < {STUB_TEXT}"
@@ -53,6 +55,7 @@ TRUSTED = "trusted"
 SIGNALS = "(signals is not null)"
 OTHER_TYPES = f"array_size(filter({distinct_lower('structured.json_ld_types')}, x -> x not in {listed(PLAIN_TYPES)}))"
 
+# The rubric's lines, their bands and points.
 #: (line, band, points, points earned, when it can be observed)
 LINES = (
     ("tier1-access", 0, 30, tenth(f"greatest({TIER1_TOKENS} - coalesce(array_size(t1), 0), 0) * 30.0 / {TIER1_TOKENS}"), "true"),
@@ -108,7 +111,7 @@ def archetype(blocked_roles: str, blocked_assistants: str, assistants: str) -> s
     """Facet of access; the arguments are the distinct roles of blocked tier-1 tokens and counts of assistants."""
     n = "n_blocked"
     return (
-        f"case when http_status = 402 then 'metered' when not {flag('robots.present')} then 'undeclared' when {n} = 0 then 'open' when {n} >= {TIER1_TOKENS} then 'walled'"
+        f"case when {METERED} then 'metered' when not {flag('robots.present')} then 'undeclared' when {n} = 0 then 'open' when {n} >= {TIER1_TOKENS} then 'walled'"
         f" when {blocked_roles} = 'training' then 'no-training' when {blocked_assistants} = 0 and {assistants} > 0 then 'assistant-only' else 'selective' end"
     )
 

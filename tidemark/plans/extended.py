@@ -31,24 +31,55 @@ def robots_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rules(spark, sf_dir).select("doc_id", F.col("group_no").cast("bigint").alias("group_no"), join("agents"), join("disallow"), join("allow"))
 
 
+def _robots_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").where(_ROBOTS).select("doc_id").distinct()
+
+
 def robots_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each registered token may fetch the root of each robots document."""
-    return robots.access(_rules(spark, sf_dir), table(spark, sf_dir, "agent_registry"))
+    return robots.access(_rules(spark, sf_dir), table(spark, sf_dir, "agent_registry"), _robots_docs(spark, sf_dir))
+
+
+#: A name that no group lists: what is denied to it is denied to all.
+UNLISTED = "an-agent-that-no-list-names"
 
 
 def robots_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per robots document: groups, named registry tokens, use of allow rules, blanket denial."""
+    """Per robots document: groups, registered tokens named (in the order of the registry), those denied by tier, use of allow rules, blanket denial."""
     g = _rules(spark, sf_dir)
-    reg = [r[0].lower() for r in table(spark, sf_dir, "agent_registry").select("token").collect()]
     agents = F.transform("agents", F.lower)
-    return g.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("groups"),
-        F.max(F.exists("allow", lambda x: x != "")).alias("uses_allow"),
-        F.max(F.array_contains(agents, "*") & F.array_contains("disallow", "/")).alias("blanket"),
-        F.array_size(F.array_intersect(F.flatten(F.collect_list(agents)), F.array(*[F.lit(t) for t in reg]))).alias("named"),
+    star = F.min_by(F.when(F.array_contains(agents, "*"), F.array_contains("disallow", "/")), F.when(F.array_contains(agents, "*"), F.col("group_no")))
+    per = g.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("groups"), F.max(F.exists("allow", lambda x: x != "")).alias("uses_allow"), F.coalesce(star, F.lit(False)).alias("star_root"), F.array_distinct(F.flatten(F.collect_list(agents))).alias("names")
+    )
+    reg = table(spark, sf_dir, "agent_registry").where("token is not null")
+    known = reg.agg(F.array_sort(F.collect_list(F.struct("registry_order", "token", "tier")))).scalar()
+    d = _robots_docs(spark, sf_dir).join(per, "doc_id", "left").join(robots.verdicts(g), "doc_id", "left").withColumn("known", known)
+    pick = lambda cond: F.array_join(F.transform(F.filter("known", cond), lambda t: t["token"]), ",")
+    denied = lambda tier: pick(lambda t: (t["tier"] == tier) & ~robots.allowed(F.col("verdicts"), t["token"]))
+    return d.select(
+        "doc_id",
+        F.coalesce("groups", F.lit(0)).alias("groups"),
+        F.coalesce("uses_allow", F.lit(False)).alias("uses_allow"),
+        (F.coalesce("star_root", F.lit(False)) & ~robots.allowed(F.col("verdicts"), F.lit(UNLISTED))).alias("blanket"),
+        F.coalesce(pick(lambda t: F.array_contains("names", F.lower(t["token"]))), F.lit("")).alias("named"),
+        denied(1).alias("tier1_denied"),
+        denied(2).alias("tier2_denied"),
     )
 
 
+PROBE = "TansyBot"
+
+
+def robots_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each robots document lets the probe do: ``opted-out`` (named and denied: nothing is recorded), ``robots-restricted``
+    (denied to all: only the rules are recorded), else ``open``."""
+    g = robots.verdicts(_rules(spark, sf_dir))
+    v = F.col("verdicts")
+    gate = F.when(robots.allowed(v, F.lit(PROBE)), "open").when(F.try_element_at(v, F.lit(PROBE.lower())).isNotNull(), "opted-out").otherwise("robots-restricted")
+    return _robots_docs(spark, sf_dir).join(g, "doc_id", "left").select("doc_id", gate.alias("gate"))
+
+
 _LINES = """l as (select doc_id, pos, lower(trim(split_part(bare, ':', 1))) as field, trim(substr(bare, strpos(bare, ':') + 1)) as value from (
     select doc_id, generate_subscripts(ls, 1) as pos, regexp_replace(unnest(ls), '#.*$', '') as bare from (select doc_id, regexp_split_to_array(text, '\\r?\\n') as ls from documents where """ + _ROBOTS + """) a) b where strpos(bare, ':') > 0),
   m as (select *, case when field = 'user-agent' and coalesce(lag(field) over (partition by doc_id order by pos), '') <> 'user-agent' then 1 else 0 end as starts from l),
@@ -60,11 +91,21 @@ _OK = f"({_BEST.format('disallow')} < 0 or {_BEST.format('allow')} >= {_BEST.for
 ROBOTS_SQL = {
     "robots_groups": f"with {_LINES} select doc_id, group_no, array_to_string(agents, '|') as agents, array_to_string(disallow, '|') as disallow, array_to_string(allow, '|') as allow from g",
     "robots_access": f"""with {_LINES}, j as (select doc_id, group_no, {_OK} as ok, unnest(list_transform(agents, lambda x: lower(x))) as agent from g),
-      f as (select doc_id, agent, arg_min(ok, group_no) as ok from j group by doc_id, agent), d as (select distinct doc_id from g)
+      f as (select doc_id, agent, arg_min(ok, group_no) as ok from j group by doc_id, agent), d as (select distinct doc_id from documents where {_ROBOTS})
       select d.doc_id, a.token, coalesce(x.ok, s.ok, true) as allowed from d cross join agent_registry a left join f x on x.doc_id = d.doc_id and x.agent = lower(a.token) left join f s on s.doc_id = d.doc_id and s.agent = '*'""",
-    "robots_summary": f"""with {_LINES}, u as (select distinct doc_id, unnest(list_transform(agents, lambda x: lower(x))) as agent from g), k as (select doc_id, count(*) as named from u where agent in (select lower(token) from agent_registry) group by doc_id),
-      s as (select doc_id, count(*) as groups, bool_or(len(list_filter(allow, lambda x: x <> '')) > 0) as uses_allow, bool_or(list_contains(agents, '*') and list_contains(disallow, '/')) as blanket from g group by doc_id)
-      select s.*, coalesce(k.named, 0) as named from s left join k on s.doc_id = k.doc_id""",
+    "robots_summary": f"""with {_LINES}, j as (select doc_id, group_no, {_OK} as ok, list_contains(disallow, '/') as root, unnest(list_transform(agents, lambda x: lower(x))) as agent from g),
+      f as (select doc_id, agent, arg_min(ok, group_no) as ok, arg_min(root, group_no) as root from j group by doc_id, agent), d as (select distinct doc_id from documents where {_ROBOTS}),
+      s as (select doc_id, count(*) as groups, bool_or(len(list_filter(allow, lambda x: x <> '')) > 0) as uses_allow from g group by doc_id),
+      t as (select d.doc_id, a.token, a.tier, a.registry_order, f.agent is not null as named, coalesce(f.ok, star.ok, true) as ok from d join agent_registry a on true
+        left join f on f.doc_id = d.doc_id and f.agent = lower(a.token) left join f star on star.doc_id = d.doc_id and star.agent = '*'),
+      y as (select doc_id, coalesce(string_agg(token, ',' order by registry_order) filter (where named), '') as named, coalesce(string_agg(token, ',' order by registry_order) filter (where tier = 1 and not ok), '') as tier1_denied,
+        coalesce(string_agg(token, ',' order by registry_order) filter (where tier = 2 and not ok), '') as tier2_denied from t group by doc_id)
+      select d.doc_id, coalesce(s.groups, 0) as groups, coalesce(s.uses_allow, false) as uses_allow, coalesce(star.root and not star.ok, false) as blanket, y.named, y.tier1_denied, y.tier2_denied
+      from d join y on y.doc_id = d.doc_id left join s on s.doc_id = d.doc_id left join f star on star.doc_id = d.doc_id and star.agent = '*'""",
+    "robots_gate": f"""with {_LINES}, j as (select doc_id, group_no, {_OK} as ok, unnest(list_transform(agents, lambda x: lower(x))) as agent from g),
+      f as (select doc_id, agent, arg_min(ok, group_no) as ok from j group by doc_id, agent), d as (select distinct doc_id from documents where {_ROBOTS})
+      select d.doc_id, case when x.ok = false then 'opted-out' when x.ok is null and s.ok = false then 'robots-restricted' else 'open' end as gate
+      from d left join f x on x.doc_id = d.doc_id and x.agent = '{PROBE.lower()}' left join f s on s.doc_id = d.doc_id and s.agent = '*'""",
 }
 
 TEXTS["robots_directives"] = f"select doc_id, regexp_like(text, '(?im)^[ \\t]*sitemap[ \\t]*:') as sitemap, nullif(regexp_extract(text, '(?im)^[ \\t]*crawl-delay[ \\t]*:[ \\t]*([0-9]+)', 1), '') as delay, nullif(left(regexp_extract(text, '(?im)^[ \\t]*license[ \\t]*:[ \\t]*([^ \\t\\r\\n]+)', 1), 300), '') as licence, length(text) as size from @documents where {_ROBOTS}"
@@ -88,7 +129,7 @@ TEXTS["star_join"] = "select r_name, sum(l_extendedprice * (1 - l_discount)) as
 TEXTS["join_full_outer"] = "select coalesce(c_custkey, o_custkey) as custkey, count(o_orderkey) as orders, max(c_custkey is not null) as known from @customer full outer join @orders on c_custkey = o_custkey group by 1".replace("max(c_custkey is not null)", "count(distinct c_custkey) > 0")
 TEXTS["join_semi"] = "select count(*) as n, sum(c_acctbal) as balance from @customer c where exists (select 1 from @orders o where o.o_custkey = c.c_custkey and o_totalprice > 100000)"
 TEXTS["join_anti"] = "select count(*) as n, sum(c_acctbal) as balance from @customer c where not exists (select 1 from @orders o where o.o_custkey = c.c_custkey)"
-TEXTS["join_theta_bands"] = "with b as (select explode({bands}) as lo) select lo, count(*) as n, sum(o_totalprice) as total from b join @orders on o_totalprice >= lo * 50000 and o_totalprice < (lo + 1) * 50000 group by lo"
+TEXTS["join_theta_bands"] = "with b as (select explode({bands}) as lo) select lo, count(*) as n, sum(o_totalprice) as total from b join @orders on lo = cast(floor(o_totalprice / 50000) as int) and o_totalprice >= lo * 50000 and o_totalprice < (lo + 1) * 50000 group by lo"
 TEXTS["cube"] = "select l_returnflag, l_linestatus, grouping(l_returnflag) as gf, grouping(l_linestatus) as gs, count(*) as n, sum(l_quantity) as qty from @lineitem group by cube (l_returnflag, l_linestatus)"
 TEXTS["rollup"] = "select o_orderpriority, o_orderstatus, count(*) as n, sum(o_totalprice) as total from @orders group by rollup (o_orderpriority, o_orderstatus)"
 TEXTS["grouping_sets"] = "select o_orderpriority, o_orderstatus, count(*) as n from @orders group by grouping sets ((o_orderpriority), (o_orderstatus), ())"
@@ -179,7 +220,7 @@ def salted_skew_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 SALTED_SQL = "select o.domain, count(*) as n from observations o join (select distinct domain, row_id from domain_rows) d on o.domain = d.domain group by o.domain"
 
 _FORMS = {"~[": ("\\\\[", "\\["), "{bands}": ("sequence(0, 9)", "range(0, 10)"), "aggregate_squares(embedding)": ("aggregate(embedding, cast(0 as double), (a, x) -> a + cast(x as double) * x)", "list_sum(list_transform(embedding, lambda x: cast(x as double) * x))")}
-QUERIES = {"structured_types": structured_types, "robots_groups": robots_groups, "robots_access": robots_access, "robots_summary": robots_summary, "events_json": events_json, "asof_scores": asof_scores, "range_events": range_events, "approximate_aggregates": approximate_aggregates, "salted_skew_join": salted_skew_join}
+QUERIES = {"structured_types": structured_types, "robots_groups": robots_groups, "robots_access": robots_access, "robots_summary": robots_summary, "robots_gate": robots_gate, "events_json": events_json, "asof_scores": asof_scores, "range_events": range_events, "approximate_aggregates": approximate_aggregates, "salted_skew_join": salted_skew_join}
 ORACLE = {**ROBOTS_SQL, "structured_types": TYPES_SQL, "events_json": "select event_type, sum(cast(json_extract(props, '$.k') as int)) as total, count(json_extract(props, '$.k')) as n from events group by event_type", "asof_scores": ASOF_SQL, "range_events": RANGE_SQL, "salted_skew_join": SALTED_SQL}
 for _name, _text in TEXTS.items():
     _a, _b = _text, _text

@@ -7,12 +7,14 @@ nothing is registered in the session; Catalyst prunes columns and pushes filters
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.tables import spread, table
 
+Query = Callable[[SparkSession, str], DataFrame]
+
 #: Spark's names and DuckDB's for what the texts use.
 DIALECT = (
     (r"\barray_size\(", "len("),
@@ -50,11 +52,23 @@ def duck_text(sql: str) -> str:
     return re.sub(r"@(\w+)", r"\1", sql)
 
 
-def query(sql: str, costly: tuple[str, ...] = ()) -> Callable[[SparkSession, str], DataFrame]:
-    """A registered query of the text ``sql``. ``costly``: tables whose rows cost enough to spread a small one over the cores."""
+def query(sql: str, costly: tuple[str, ...] = (), views: Mapping[str, Query] | None = None) -> Query:
+    """A registered query of the text ``sql``. ``costly``: tables whose rows cost enough to spread a small one over the cores; ``views``: names that queries of their own define."""
     names = sorted(set(re.findall(r"@(\w+)", sql)))
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.sql(spark_text(sql), **{n: spread(table(spark, sf_dir, n)) if n in costly else table(spark, sf_dir, n) for n in names})
+        def named(n: str) -> DataFrame:
+            if views and n in views:
+                return views[n](spark, sf_dir)
+            return spread(table(spark, sf_dir, n)) if n in costly else table(spark, sf_dir, n)
+
+        return spark.sql(spark_text(sql), **{n: named(n) for n in names})
 
     return run
+
+
+def literal(text: str) -> str:
+    """``text`` as a SQL literal of both dialects; what they would read differently is refused."""
+    if "\\" in text or any(ord(c) < 32 for c in text):
+        raise ValueError("backslashes and control characters are not allowed")
+    return "'" + text.replace("'", "''") + "'"

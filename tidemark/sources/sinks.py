@@ -18,15 +18,44 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def _rename(fs, a, b) -> None:
+    if not fs.rename(a, b):
+        raise OSError(f"cannot rename {a} to {b}")
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Ends a ``replace`` of ``path`` that was broken off: the table it had set aside comes back if no new one took its place, else it goes."""
+    fs, target = _fs(spark, path)
+    old = _fs(spark, f"{path}.old")[1]
+    if fs.exists(old):
+        if fs.exists(target):
+            fs.delete(old, True)
+        else:
+            _rename(fs, old, target)
+
+
 def replace(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Overwrites ``path`` by a staged write and a rename; ``df`` may read ``path`` itself."""
+    """Overwrites ``path`` by a staged write and two renames; ``df`` may read ``path`` itself.
+
+    At no time is there neither the old table nor the new one: the old is set aside as ``path.old`` until the new has its place, and
+    ``recover`` (run first here) ends what a crash between the renames left. A failed write leaves ``path`` as it was.
+    """
     spark = df.sparkSession
+    recover(spark, path)
     stage = f"{path}.stage-{uuid.uuid4().hex}"
     df.write.format(fmt).save(stage)
     fs, target = _fs(spark, path)
-    fs.delete(target, True)
-    if not fs.rename(_fs(spark, stage)[1], target):
-        raise OSError(f"cannot rename {stage} to {path}")
+    new, old = _fs(spark, stage)[1], _fs(spark, f"{path}.old")[1]
+    if fs.exists(target):
+        _rename(fs, target, old)
+        try:
+            _rename(fs, new, target)
+        except OSError:
+            _rename(fs, old, target)
+            raise
+        fs.delete(old, True)
+    else:
+        _rename(fs, new, target)
 
 
 def write_sorted_lines(df: DataFrame, path: str, key: str, columns: Sequence[str]) -> None:
@@ -35,10 +64,18 @@ def write_sorted_lines(df: DataFrame, path: str, key: str, columns: Sequence[str
 
 
 def append_log(df: DataFrame, path: str, newest: str, keep: int = LOG_ROWS) -> None:
-    """Appends to a log of at most ``keep`` rows: the newest stay (the cut is the log's definition)."""
+    """Appends to a log of at most ``keep`` rows: the newest stay (the cut is the log's definition); it is stored oldest first."""
     spark = df.sparkSession
     both = spark.read.parquet(path).unionByName(df) if exists(spark, path) else df
-    replace(both.orderBy(F.desc(newest), *[F.col(c) for c in df.columns if c != newest]).limit(keep), path)
+    rest = [c for c in df.columns if c != newest]
+    replace(both.orderBy(F.desc(newest), *rest).limit(keep).orderBy(F.col(newest), *[F.desc(c) for c in rest]), path)
+
+
+def write_one(df: DataFrame, path: str) -> None:
+    """A singleton document (run metadata): ``df`` must have exactly one row."""
+    if len(df.take(2)) != 1:
+        raise ValueError("a singleton has one row")
+    replace(df.coalesce(1), path, "json")
 
 
 def guarded_upsert(stored: DataFrame, fresh: DataFrame, keys: Sequence[str], size: str, suspect: str, force: bool = False) -> DataFrame:

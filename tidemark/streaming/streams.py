@@ -5,8 +5,6 @@ Each runs what is available and stops, writing to a folder below the shared chec
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -14,12 +12,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.tables import remove, shared_folder
+
 LIMIT, WINDOW_SECONDS = 8, 60
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "tidemark-checkpoints")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def file_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -41,6 +40,7 @@ def run(stream: DataFrame, mode: str) -> DataFrame:
 
     q = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
+    remove(spark, f"{folder}/state")  # nothing runs on from it
     return spark.read.schema(stream.schema).parquet(out)
 
 

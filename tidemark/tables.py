@@ -15,15 +15,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stamp(spark: SparkSession, path: str) -> tuple:
+    """Size and time of the files at ``path``: differs once the table is written anew."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate data that all executors share: the session's ``spark.checkpoint.dir``.
+
+    Where that is unset, a local temporary folder serves on one machine; on a cluster it is an error.
+    """
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), "tidemark-checkpoints")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """``df`` written to the reliable checkpoint folder and read back, with its lineage cut.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only where that is unset (tests, one
-    machine) is a local temporary one taken.
+    With ``spark.cleaner.referenceTracking.cleanCheckpoints`` set when the session starts, Spark deletes the files once nothing refers to them.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "tidemark-checkpoints"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
