@@ -186,8 +186,7 @@ def structured_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     A block's root, the items of a root array and of ``@graph`` are nodes; nothing deeper is. Blocks that are no JSON
     are skipped. The pages carry a block by id: a graph, an array, one that is malformed, or none.
     """
-    blocks = {0: '{"@graph": [{"@type": "Organization"}, {"@type": ["WebSite", "Thing"], "author": {"name": "x"}}]}', 1: '[{"@type": "Article", "author": ""}, {"part": {"@type": "Hidden"}}]', 2: '{"@type": "Broken",'}
-    block = F.coalesce(*[F.when(F.col("doc_id") % 4 == k, F.lit(f'<script type="application/ld+json">{v}</script>')) for k, v in blocks.items()], F.lit(""))
+    block = F.coalesce(*[F.when(F.col("doc_id") % 4 == k, F.lit(f'<script type="application/ld+json">{v}</script>')) for k, v in _BLOCKS.items()], F.lit(""))
     pages = query(f"with {_PAGE} select doc_id, html from p")(spark, sf_dir).select("doc_id", F.concat("html", block).alias("html"))
     raw = pages.select("doc_id", F.explode(F.regexp_extract_all("html", F.lit("(?is)<script[^>]+type=.application/ld.json.[^>]*>(.*?)</script>"), 1)).alias("raw"))
     v = raw.select("doc_id", F.try_parse_json(F.trim("raw")).alias("v")).where("v is not null")
@@ -201,7 +200,11 @@ def structured_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy("doc_id").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("types")))), ",").alias("types"), F.max("author").alias("has_author"))
 
 
-TYPES_SQL = "select doc_id, case when doc_id % 4 = 0 then 'Organization,Thing,WebSite' else 'Article' end as types, doc_id % 4 = 0 as has_author from documents where doc_id % 4 in (0, 1)"
+_BLOCKS = {0: '{"@graph": [{"@type": "Organization"}, {"@type": ["WebSite", "Thing"], "author": {"name": "x"}}]}', 1: '[{"@type": "Article", "author": ""}, {"part": {"@type": "Hidden"}}]', 2: '{"@type": "Broken",'}
+TYPES_SQL = f"""with b as (select doc_id, case doc_id % 4 {' '.join(f"when {k} then '{v}'" for k, v in _BLOCKS.items())} end as v from documents), ok as (select doc_id, cast(v as json) as v from b where json_valid(v)),
+  root as (select doc_id, unnest(case when json_type(v) = 'ARRAY' then json_extract(v, '$[*]') else [v] end) as v from ok), nodes as (select doc_id, unnest([v] || coalesce(json_extract(v, '$."@graph"[*]'), [])) as node from root),
+  t as (select doc_id, node, case when json_type(node, '$."@type"') = 'ARRAY' then json_extract_string(node, '$."@type"[*]') when json_type(node, '$."@type"') = 'VARCHAR' then [json_extract_string(node, '$."@type"')] else [] end as types from nodes)
+  select doc_id, array_to_string(list_sort(list_distinct(flatten(list(types)))), ',') as types, bool_or(coalesce(json_extract_string(node, '$.author'), '') not in ('', '[]', 'null')) as has_author from t group by doc_id"""
 
 
 def approximate_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from tidemark.functions import detect
 from tidemark.functions.normal import normal_domain
 from tidemark.operators import run_health
 from tidemark.plans.extended import _PAGE
-from tidemark.plans.sqlkit import query
+from tidemark.plans.sqlkit import duck_text, query
 from tidemark.streaming import streams
 from tidemark.tables import table
 
@@ -40,8 +40,8 @@ def platform_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("doc_id", detect.first_match(detect.PLATFORM_RULES, F.col("html"), window=None).alias("platform"))
 
 
-DETECTION_SQL = """select doc_id, case when regexp_matches(coalesce(text, ''), '(?i)/wp-(content|includes)/') or doc_id % 4 = 0 then 'wordpress' when regexp_matches(coalesce(text, ''), '(?i)/sites/default/files/') then 'drupal' when regexp_matches(coalesce(text, ''), '(?i)content=.joomla') then 'joomla'
-  when doc_id % 4 = 1 or contains(coalesce(text, ''), '/_next/static/') then 'next' when contains(coalesce(text, ''), '/_nuxt/') then 'nuxt' when regexp_matches(coalesce(text, ''), '(?i)content=.ghost') then 'ghost' end as platform from documents"""
+DETECTION_SQL = f"""with {duck_text(_PAGE)}, m as (select doc_id, html || case doc_id % 4 when 0 then '<link href="/wp-content/a.css">' when 1 then '<script src="/_next/static/b.js"></script>' else '' end as html from p)
+  select doc_id, case {' '.join(f"when regexp_matches(html, '{r.body}') then '{r.id}'" for r in detect.PLATFORM_RULES if r.body)} end as platform from m"""
 
 
 def refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
