@@ -99,3 +99,17 @@ def test_nulls_and_empty(spark):
     assert observe(spark)[:] == []
     o = observe(spark, {"robots": None, "home": None, "bot": None, "llms": None, "agents": None, "card": None}, {"home": (200, None, None, None, None)})
     assert not o[0].reachable and o[0].error == "no response" and o[1].control.kind == "unreadable"
+
+
+def test_skipped_checks_are_left_out_of_the_score(spark):
+    from tidemark.functions import scoring
+
+    def totals(*sites):
+        reg = spark.createDataFrame(REGISTRY, "token string, tier int, registry_order int")
+        base = {"robots": res(404), "home": res(200, PAGE), "bot": res(200, PAGE), "llms": res(404), "agents": res(404), "card": res(404)}
+        o = derive.observe(spark.createDataFrame([(i, "x", True, *(base | x).values()) for i, x in enumerate(sites)], SCHEMA), reg, "Probe")
+        rows = spark.sql(f"with primed as (select *, {scoring.PRELUDE} from {{o}}), lined as (select *, {scoring.line_columns(True)} from primed), banded as (select *, {scoring.band_columns()} from lined) select max_surface, {scoring.TOTAL} as total, {scoring.PARTIAL} as partial from banded order by id", o=o).collect()
+        return [tuple(r) for r in rows]
+
+    none, llms, all_three, dated = totals({}, {"llms": None}, {"llms": None, "agents": None, "card": None}, {"home": res(200, PAGE + '<meta property="article:modified_time" content="x">')})
+    assert none[0] == 25 and not none[2] and llms[0] == 16 and llms[2] and llms[1] > none[1] and all_three[0] == 11 and dated[1] > none[1]

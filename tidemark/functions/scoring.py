@@ -56,32 +56,41 @@ SIGNALS = "(signals is not null)"
 OTHER_TYPES = f"array_size(filter({distinct_lower('structured.json_ld_types')}, x -> x not in {listed(PLAIN_TYPES)}))"
 
 # The rubric's lines, their bands and points.
-#: (line, band, points, points earned, when it can be observed)
-LINES = (
-    ("tier1-access", 0, 30, tenth(f"greatest({TIER1_TOKENS} - coalesce(array_size(t1), 0), 0) * 30.0 / {TIER1_TOKENS}"), "true"),
-    ("tier2-access", 0, 8, tenth(f"greatest({TIER2_TOKENS} - coalesce(array_size(t2), 0), 0) * 8.0 / {TIER2_TOKENS}"), "true"),
-    ("no-cloaking", 0, 7, f"case when {flag('cloaking.detected')} then 0 else 7 end", f"({TRUSTED} and {flag('cloaking.tested')})"),
-    ("robots", 1, 3, f"case when {flag('robots.present')} then 3 else 0 end", "true"),
-    ("sitemap", 1, 4, f"case when {flag('robots.sitemap_declared')} then 4 else 0 end", "true"),
-    ("llms-txt", 1, 9, f"case when not {flag('llms_txt.present')} then 0 when {flag('llms_txt.spec_valid')} then 9 else 6 end", TRUSTED),
-    ("agents-md", 1, 4, f"case when {flag('agents_md.present')} then 4 else 0 end", TRUSTED),
-    ("declared-licence", 1, 2, f"case when signals.license_url is not null or ({TRUSTED} and {flag('signals.license_link')}) then 2 else 0 end", SIGNALS),
-    ("content-signal", 1, 2, "case when coalesce(signals.content_signal, '') <> '' then 2 else 0 end", SIGNALS),
-    ("agent-card", 1, 1, f"case when {flag('signals.agent_card')} then 1 else 0 end", f"({SIGNALS} and {TRUSTED})"),
-    ("schema-org", 2, 7, f"case when {flag('structured.has_organization')} then 7 else 0 end", TRUSTED),
-    ("schema-website", 2, 3, f"case when {flag('structured.has_website')} then 3 else 0 end", TRUSTED),
-    ("schema-other", 2, 3, f"case when coalesce({OTHER_TYPES}, 0) > 0 then 3 else 0 end", TRUSTED),
-    ("ssr-text", 2, 7, f"case when {TEXT} >= 500 then 7 when {TEXT} >= 150 then 4 else 0 end", TRUSTED),
-    ("single-h1", 2, 3, "case when content.h1_count = 1 then 3 else 0 end", TRUSTED),
-    ("landmarks", 2, 2, "case when coalesce(array_size(array_distinct(content.landmarks)), 0) >= 3 then 2 else 0 end", TRUSTED),
-    ("dateline", 2, 3, f"case when {flag('signals.date_published')} then 3 else 0 end", f"({SIGNALS} and {TRUSTED})"),
-    ("authorship", 2, 2, f"case when {flag('signals.has_author')} then 2 else 0 end", f"({SIGNALS} and {TRUSTED})"),
-)
+def lines(full: bool = False) -> tuple:
+    """(line, band, points, points earned, when it can be observed) of every line.
+
+    ``full``: the observations also say which checks were skipped (a skipped check can't be observed) and whether a page tells when it was modified.
+    """
+    skip = lambda path: f" and not {flag(f'array_contains(signals.skipped_checks, {path!r})')}" if full else ""
+    dated = f"{flag('signals.date_published')} or {flag('signals.date_modified')}" if full else flag("signals.date_published")
+    return (
+        ("tier1-access", 0, 30, tenth(f"greatest({TIER1_TOKENS} - coalesce(array_size(t1), 0), 0) * 30.0 / {TIER1_TOKENS}"), "true"),
+        ("tier2-access", 0, 8, tenth(f"greatest({TIER2_TOKENS} - coalesce(array_size(t2), 0), 0) * 8.0 / {TIER2_TOKENS}"), "true"),
+        ("no-cloaking", 0, 7, f"case when {flag('cloaking.detected')} then 0 else 7 end", f"({TRUSTED} and {flag('cloaking.tested')})"),
+        ("robots", 1, 3, f"case when {flag('robots.present')} then 3 else 0 end", "true"),
+        ("sitemap", 1, 4, f"case when {flag('robots.sitemap_declared')} then 4 else 0 end", "true"),
+        ("llms-txt", 1, 9, f"case when not {flag('llms_txt.present')} then 0 when {flag('llms_txt.spec_valid')} then 9 else 6 end", f"({TRUSTED}{skip('/llms.txt')})"),
+        ("agents-md", 1, 4, f"case when {flag('agents_md.present')} then 4 else 0 end", f"({TRUSTED}{skip('/agents.md')})"),
+        ("declared-licence", 1, 2, f"case when signals.license_url is not null or ({TRUSTED} and {flag('signals.license_link')}) then 2 else 0 end", SIGNALS),
+        ("content-signal", 1, 2, "case when coalesce(signals.content_signal, '') <> '' then 2 else 0 end", SIGNALS),
+        ("agent-card", 1, 1, f"case when {flag('signals.agent_card')} then 1 else 0 end", f"({SIGNALS} and {TRUSTED}{skip('/.well-known/agent-card.json')})"),
+        ("schema-org", 2, 7, f"case when {flag('structured.has_organization')} then 7 else 0 end", TRUSTED),
+        ("schema-website", 2, 3, f"case when {flag('structured.has_website')} then 3 else 0 end", TRUSTED),
+        ("schema-other", 2, 3, f"case when coalesce({OTHER_TYPES}, 0) > 0 then 3 else 0 end", TRUSTED),
+        ("ssr-text", 2, 7, f"case when {TEXT} >= 500 then 7 when {TEXT} >= 150 then 4 else 0 end", TRUSTED),
+        ("single-h1", 2, 3, "case when content.h1_count = 1 then 3 else 0 end", TRUSTED),
+        ("landmarks", 2, 2, "case when coalesce(array_size(array_distinct(content.landmarks)), 0) >= 3 then 2 else 0 end", TRUSTED),
+        ("dateline", 2, 3, f"case when {dated} then 3 else 0 end", f"({SIGNALS} and {TRUSTED})"),
+        ("authorship", 2, 2, f"case when {flag('signals.has_author')} then 2 else 0 end", f"({SIGNALS} and {TRUSTED})"),
+    )
+
+
+LINES = lines()
 
 
-def line_columns() -> str:
+def line_columns(full: bool = False) -> str:
     """Columns e0, a0, e1, a1, ... over the columns of PRELUDE: points earned, and whether the line could be observed."""
-    return ", ".join(f"cast({e} as double) as e{i}, {a} as a{i}" for i, (_, _, _, e, a) in enumerate(LINES))
+    return ", ".join(f"cast({e} as double) as e{i}, {a} as a{i}" for i, (_, _, _, e, a) in enumerate(lines(full)))
 
 
 def band_columns() -> str:

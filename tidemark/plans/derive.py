@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import derive, detect
 from tidemark.functions import html as h
+from tidemark.functions import scoring as s
 from tidemark.plans.extended import _LINES, _OK, _ROBOTS, PROBE, UNLISTED
 from tidemark.plans.sqlkit import duck_text, query
 from tidemark.tables import table
@@ -178,9 +179,33 @@ def stack_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.join(detect.labels(spark), "id", "left").select("id", F.coalesce("label", "id").alias("label"), F.coalesce("kind", F.lit("other")).alias("kind"), "n")
 
 
-QUERIES = {"derived_observations": derived_observations, "stack_labels": stack_labels}
+def derived_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the derived observations, with checks that were skipped left out and modification dates counted."""
+    o = derive.observe(responses(spark, sf_dir), table(spark, sf_dir, "agent_registry"), PROBE)
+    text = f"with primed as (select *, {s.PRELUDE} from {{o}}), lined as (select *, {s.line_columns(full=True)} from primed), banded as (select *, {s.band_columns()} from lined)"
+    return spark.sql(f"{text} select id, earned_access, max_access, earned_surface, max_surface, earned_structure, max_structure, {s.TOTAL} as total, {s.PARTIAL} as partial, {s.grade(s.TOTAL)} as grade from banded where not opted_out", o=o)
+
+
+def _scores_sql() -> str:
+    """The rubric over the flat columns, line by line."""
+    pts = lambda cond, n: f"case when {cond} then {n} else 0 end"
+    tenth = lambda x: f"floor(({x}) * 10 + 0.5) / 10"
+    rest = "len(list_filter(string_split(types, ','), lambda x: x <> '' and lower(x) not in ('organization', 'corporation', 'localbusiness', 'onlinebusiness', 'newsmediaorganization', 'website'))) > 0"
+    return f"""with o as ({_sql()}), x as (select *, len(list_filter(string_split(tier1, ','), lambda x: x <> '')) as n1, len(list_filter(string_split(tier2, ','), lambda x: x <> '')) as n2, string_split(skipped, ',') as sk,
+    not challenged and not (browser_bytes > 0 and browser_bytes < 5000 and (text_length < 100 or (text_length < 400 and bot_status in (401, 403, 406, 429, 503)))) as ok from o where not opted_out),
+  y as (select *, ok and not list_contains(sk, '/llms.txt') as ok_llms, ok and not list_contains(sk, '/agents.md') as ok_agents, ok and not list_contains(sk, '/.well-known/agent-card.json') as ok_card from x),
+  b as (select *, {tenth(f"{tenth('(11 - n1) * 30.0 / 11')} + {tenth('(12 - n2) * 8.0 / 12')} + {pts('ok and tested and not detected', 7)}")} as earned_access, 38 + {pts('ok and tested', 7)} as max_access,
+    {tenth(f"{pts('robots_present', 3)} + {pts('sitemap', 4)} + case when not ok_llms or not llms then 0 when llms_valid then 9 else 6 end + {pts('ok_agents and agents', 4)} + {pts('license_url is not null or (ok and license_link)', 2)} + {pts('content_signal is not null', 2)} + {pts('ok_card and card', 1)}")} as earned_surface,
+    11 + {pts('ok_llms', 9)} + {pts('ok_agents', 4)} + {pts('ok_card', 1)} as max_surface,
+    {tenth(f"case when ok then {pts('organization', 7)} + {pts('website', 3)} + {pts(rest, 3)} + case when text_length >= 500 then 7 when text_length >= 150 then 4 else 0 end + {pts('h1 = 1', 3)} + {pts("len(string_split(landmarks, ',')) >= 3", 2)} + {pts('published or modified', 3)} + {pts('author', 2)} else 0 end")} as earned_structure, {pts('ok', 30)} as max_structure from y),
+  t as (select *, case when reachable then cast(floor((earned_access + earned_surface + earned_structure) / (max_access + max_surface + max_structure) * 100 + 0.5) as int) end as total from b)
+  select id, earned_access, max_access, earned_surface, max_surface, earned_structure, max_structure, total, max_access + max_surface + max_structure <> 100 as partial, case when total >= 90 then 'A' when total >= 75 then 'B' when total >= 60 then 'C' when total >= 40 then 'D' when total is not null then 'F' end as grade from t"""
+
+
+QUERIES = {"derived_scores": derived_scores, "derived_observations": derived_observations, "stack_labels": stack_labels}
 _NAMES = ", ".join(f"('{r.id}', '{r.label}', '{r.kind}')" for r in (*detect.PLATFORM_RULES, *detect.NETWORK_RULES))
 ORACLE = {
     "derived_observations": _sql(),
+    "derived_scores": _scores_sql(),
     "stack_labels": f"with o as ({_sql()}), e as (select unnest([platform, network]) as id from o), n as (select id, count(*) as n from e where id is not null group by id) select n.id, coalesce(l.label, n.id) as label, coalesce(l.kind, 'other') as kind, n.n from n left join (values {_NAMES}) l(id, label, kind) on l.id = n.id",
 }

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import detect
 from tidemark.functions.normal import normal_domain
 from tidemark.operators import run_health
+from tidemark.plans import sites
 from tidemark.plans.extended import _PAGE
 from tidemark.plans.sqlkit import duck_text, query
 from tidemark.streaming import streams
@@ -27,11 +28,13 @@ RECORDS_SQL = """select record_id, json_extract_string(raw, '$.domain') as domai
 
 
 def reassessed_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdict of every feed's days, folded in order."""
+    """Verdict of every feed's days, folded in order; a day's score changes are those of the sites on that day."""
     d = table(spark, sf_dir, "daily_stats")
     last = Window.partitionBy("feed", "stat_day").orderBy(F.desc("load_no"), F.desc("loaded_at"), F.desc("observed"), F.desc("total_domains"), F.desc("mean_score"), F.desc("attempted"), F.desc("succeeded"))
     one = d.withColumn("nth", F.row_number().over(last)).where("nth = 1 and feed is not null and stat_day is not null")
-    return run_health.reassess(one.select("feed", F.col("stat_day").alias("day"), "total_domains", "observed", "mean_score", "attempted", "succeeded", F.lit(0).cast("bigint").alias("score_changes")))
+    changes = sites.change_events(spark, sf_dir).where("kind = 'score'").groupBy(F.to_date("observed_at").alias("stat_day")).agg(F.count(F.lit(1)).alias("score_changes"))
+    rows = one.join(changes, "stat_day", "left")
+    return run_health.reassess(rows.select("feed", F.col("stat_day").alias("day"), "total_domains", "observed", "mean_score", "attempted", "succeeded", F.coalesce("score_changes", F.lit(0)).alias("score_changes")))
 
 
 def platform_detection(spark: SparkSession, sf_dir: str) -> DataFrame:

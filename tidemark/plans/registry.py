@@ -29,9 +29,9 @@ WIDE = {
 
 
 def modules() -> list:
-    from tidemark.plans import derive, extended, found_core, pipelines, reference
+    from tidemark.plans import batch, derive, extended, found_core, pipelines, reference
 
-    return [found_core, reference, extended, pipelines, derive]
+    return [found_core, reference, extended, pipelines, derive, batch]
 
 
 def narrow(name: str, sql: str) -> str:

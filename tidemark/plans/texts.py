@@ -42,5 +42,5 @@ SERIES = """series as (select * from (select d.*, row_number() over (partition b
 
 EACH_TOTAL = f"with {KEYED}, {LINES}, {BANDS}, {TOTALS.replace('totalled', 'each_total')}"
 HISTORY_COLUMNS = (
-    "site", "observed_at", "ingested_at", "obs_id", "vantage", "probe_version", "reachable", "http_status", "control", "robots", "t1", "t2", "llms_txt", "agents_md", "cloaking", "signals", "stack", "total", "partial", "posture", "gap", "n_blocked",
+    "site", "observed_at", "ingested_at", "obs_id", "vantage", "probe_version", "reachable", "opted_out", "http_status", "control", "robots", "t1", "t2", "llms_txt", "agents_md", "cloaking", "signals", "stack", "total", "partial", "posture", "gap", "n_blocked",
 )
