@@ -225,8 +225,53 @@ def p6_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy("path").agg(F.count(F.lit(1)).alias("nodes"), F.count_distinct("record_id", "parent").alias("parents"), F.count_distinct("record_id").alias("records"), F.count_if(F.col("kind") == "null").alias("nulls"))
 
 
+_READABLE = "json_valid({0}) and not regexp_matches({0}, ',[ \\t\\r\\n]*[}}\\]]')"
+_P5_LEAVES = f"""lines as (select feed, file_no, line_no, cast(payload as json) as v from feed_lines where payload is not null and {_READABLE.format('payload')} and json_type(payload) = 'OBJECT'),
+  tree as (select l.feed, l.file_no, l.line_no, l.v, t.fullkey, t.type, t.value from lines l, json_tree(l.v) t),
+  leaf as (select distinct feed, file_no, coalesce('day:' || json_extract_string(v, '$.day'), 'domain:' || json_extract_string(v, '$.domain')) as record, replace(substr(fullkey, 3), '"', '') as path,
+    case when type = 'VARCHAR' then 'string' when type = 'BOOLEAN' then 'boolean' when type = 'ARRAY' then 'array' else 'number' end as kind, case when type in ('VARCHAR', 'BOOLEAN', 'ARRAY') then cast(value as varchar) else cast(cast(value as double) as varchar) end as val
+    from tree where type not in ('OBJECT', 'NULL') and not contains(fullkey, '['))"""
+P5_SQL = f"""with {_P5_LEAVES}, files as (select distinct feed, file_no from feed_lines), paths as (select feed, file_no, path, list_sort(list_distinct(list(kind))) as kinds from leaf group by 1, 2, 3),
+  pairs as (select a.feed, a.file_no from files a join files b on a.feed = b.feed and b.file_no = a.file_no - 1),
+  sides as (select p.feed, p.file_no, coalesce(n.path, o.path) as path, o.kinds as old, n.kinds as new from pairs p join (select distinct feed, path from paths) u on u.feed = p.feed
+    left join paths n on n.feed = p.feed and n.file_no = p.file_no and n.path = u.path left join paths o on o.feed = p.feed and o.file_no = p.file_no - 1 and o.path = u.path where n.path is not null or o.path is not null),
+  gone as (select * from sides where new is null), come as (select * from sides where old is null),
+  met as (select g.feed, g.file_no, g.path as old_path, c.path as new_path, a.record, bool_and(a.kind = b.kind and a.val = b.val) as same from gone g join come c on c.feed = g.feed and c.file_no = g.file_no
+    join leaf a on a.feed = g.feed and a.file_no = g.file_no - 1 and a.path = g.path join leaf b on b.feed = g.feed and b.file_no = g.file_no and b.path = c.path and b.record = a.record group by all),
+  sure as (select feed, file_no, old_path, new_path from met group by all having count(*) >= 5 and bool_and(same)),
+  named as (select * from sure qualify row_number() over (partition by feed, file_no, old_path order by new_path) = 1 and row_number() over (partition by feed, file_no, new_path order by old_path) = 1)
+  select feed, file_no, 'renamed' as change, old_path, new_path from named
+  union all select g.feed, g.file_no, 'removed', g.path, '' from gone g where not exists (select 1 from named n where n.feed = g.feed and n.file_no = g.file_no and n.old_path = g.path)
+  union all select c.feed, c.file_no, 'added', '', c.path from come c where not exists (select 1 from named n where n.feed = c.feed and n.file_no = c.file_no and n.new_path = c.path)
+  union all select feed, file_no, 'retyped', path, path from sides where old is not null and new is not null and old <> new"""
+
+
+def _listed(x: str) -> str:
+    """A JSON value as a list: an array's elements, nothing for null, else the value alone."""
+    return f"case when {x} is null or json_type({x}) = 'NULL' then [] when json_type({x}) = 'ARRAY' then json_extract({x}, '$[*]') else [{x}] end"
+
+
+def _parsed(x: str) -> str:
+    """A JSON value, read as what it says if it is a text that holds JSON."""
+    text = f"json_extract_string({x}, '$')"
+    return f"case when json_type({x}) = 'VARCHAR' and {_READABLE.format(text)} then cast({text} as json) else {x} end"
+
+
+_SIMPLE = [p for p in ARRAYS if p.count(".") == 1]
+_NESTED = [p for p in ARRAYS if p.count(".") == 2]
+_dot = lambda p: "$." + p
+P6_SQL = f"""with r as (select distinct record_id, raw from domains_jsonl where raw is not null and {_READABLE.format('raw')}), w as (select record_id, cast(raw as json) as v from r), b as (select record_id, json_extract(v, '$.obs') as v from w where json_type(v) = 'OBJECT'),
+  t as (select record_id, {_parsed('v')} as v from b where v is not null), o as (select record_id, {_listed('v')} as vs from t),
+  e0 as (select record_id, unnest(range(0, len(vs))) as obs_no, unnest(vs) as v from o), e as (select record_id, obs_no, {_parsed('v')} as v from e0),
+  simple as ({' union all '.join(f"select record_id, obs_no, '{p}' as path, 0 as parent_pos, json_extract(v, '{_dot(p)}') as x from e where json_type(v) = 'OBJECT'" for p in _SIMPLE)}),
+  up as ({' union all '.join(f"select record_id, obs_no, '{q}' as up, {_listed(f"json_extract(v, '{_dot(q)}')")} as vs from e where json_type(v) = 'OBJECT'" for q in sorted({p.rpartition('.')[0] for p in _NESTED}))}),
+  u as (select record_id, obs_no, up, unnest(range(0, len(vs))) as parent_pos, unnest(vs) as v from up),
+  nested as ({' union all '.join(f"select record_id, obs_no, '{p}' as path, parent_pos, json_extract(v, '$.{p.rpartition('.')[2]}') as x from u where up = '{p.rpartition('.')[0]}' and json_type(v) = 'OBJECT'" for p in _NESTED)}),
+  every as (select *, {_listed('x')} as xs from (select * from simple union all select * from nested) q), f as (select record_id, obs_no, path, parent_pos, unnest(range(0, len(xs))) as pos, unnest(xs) as x from every)
+  select record_id, cast(obs_no as int) as obs_no, path, cast(parent_pos as int) as parent_pos, cast(pos as int) as pos, case when json_type(x) in ('ARRAY', 'OBJECT') then cast(x as varchar) else json_extract_string(x, '$') end as value from f where json_type(x) <> 'NULL'"""
+
 QUERIES = {
     "p3_found": p3_found, "p3_merged": p3_merged, "p4_found": p4_found, "p4_profile": p4_profile, "p4_columns": p4_columns, "p4_discrimination": p4_discrimination, "p5_found": p5_found, "p5_candidates": p5_candidates, "p5_table": p5_table,
     "p6_found": p6_found, "p6_tables": p6_tables, "p7_found": p7_found,
 }
-ORACLE = {"p3_found": P3_SQL, "p3_merged": P3_SQL, "p4_found": P4_SQL, "p4_profile": P4_PROFILE_SQL, "p4_columns": P4_COLUMNS_SQL, "p7_found": P7_SQL}
+ORACLE = {"p3_found": P3_SQL, "p3_merged": P3_SQL, "p4_found": P4_SQL, "p4_profile": P4_PROFILE_SQL, "p4_columns": P4_COLUMNS_SQL, "p7_found": P7_SQL, "p5_found": P5_SQL, "p6_found": P6_SQL}

@@ -10,6 +10,7 @@ from tidemark.functions.normal import normal_domain
 from tidemark.operators import run_health
 from tidemark.plans import sites
 from tidemark.plans.extended import _PAGE
+from tidemark.plans.reference import TEXTS
 from tidemark.plans.sqlkit import duck_text, query
 from tidemark.streaming import streams
 from tidemark.tables import table
@@ -37,6 +38,27 @@ def reassessed_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_health.reassess(rows.select("feed", F.col("stat_day").alias("day"), "total_domains", "observed", "mean_score", "attempted", "succeeded", F.coalesce("score_changes", F.lit(0)).alias("score_changes")))
 
 
+#: The fold as a recursion over the days of each feed: ``k`` counts them, t_ is the last trusted day, l_ the run before.
+REASSESSED_SQL = f"""with recursive one as (select feed, stat_day, total_domains, observed, mean_score, attempted, succeeded from daily_stats where feed is not null and stat_day is not null
+    qualify row_number() over (partition by feed, stat_day order by load_no desc, loaded_at desc, observed desc, total_domains desc, mean_score desc, attempted desc, succeeded desc) = 1),
+  ch as (select cast(observed_at as date) as stat_day, count(*) as score_changes from ({duck_text(TEXTS['change_events'])}) c where kind = 'score' group by 1),
+  d as (select one.*, coalesce(ch.score_changes, 0) as score_changes, coalesce(observed, 0) as ob, row_number() over (partition by feed order by one.stat_day) as k from one left join ch on ch.stat_day = one.stat_day),
+  s(feed, k, observed, mean_score, suspect, baseline_moved, reasons, has_t, t_total, t_observed, t_mean, t_attempted, t_succeeded) as (
+    select feed, k, observed, mean_score, sus, moved, why, not sus, case when not sus then total_domains end, case when not sus then ob end, case when not sus then mean_score end, case when not sus then attempted end, case when not sus then succeeded end
+    from (select *, false as moved, ob = 0 or score_changes / greatest(ob, 1) > 0.1 as sus, concat_ws(',', case when ob = 0 then 'nothing observed' end, case when ob > 0 and score_changes / ob > 0.1 then 'score changes' end) as why from d where k = 1) a
+    union all
+    select feed, k, observed, mean_score, sus, moved, why, has_t or not sus, case when sus then t_total else total_domains end, case when sus then t_observed else ob end, case when sus then t_mean else mean_score end, case when sus then t_attempted else attempted end, case when sus then t_succeeded else succeeded end
+    from (select *, broken or (drifted and not agree) as sus, drifted and not broken and agree as moved, concat_ws(',', nullif(b_why, ''), nullif(d_why, '')) as why
+      from (select *, b_why <> '' as broken, d_why <> '' as drifted from (
+        select d.*, s.has_t, s.t_total, s.t_observed, s.t_mean, s.t_attempted, s.t_succeeded,
+          concat_ws(',', case when d.ob = 0 then 'nothing observed' end, case when d.ob > 0 and d.score_changes / d.ob > 0.1 then 'score changes' end) as b_why,
+          case when s.has_t then concat_ws(',', case when s.t_attempted > 0 and s.t_total > 0 and s.t_observed > 0 and (coalesce(s.t_succeeded, 0) / s.t_attempted - case when d.attempted > 0 then coalesce(d.succeeded, 0) / d.attempted else 0 end) * 100 > 15 then 'reachability' end,
+            case when abs(d.ob - s.t_observed) / greatest(1, s.t_observed) > 0.2 then 'population' end, case when s.t_total > 0 and (s.t_total - coalesce(d.total_domains, 0)) / s.t_total > 0.1 then 'shrunk' end, case when abs(d.mean_score - s.t_mean) > 5 then 'mean' end) else '' end as d_why,
+          s.suspect and abs(coalesce(s.observed, 0) - d.ob) / greatest(1, coalesce(s.observed, 0)) <= 0.02 and coalesce(abs(s.mean_score - d.mean_score) <= 1.5, s.mean_score is null and d.mean_score is null) as agree
+        from s join d on d.feed = s.feed and d.k = s.k + 1) x) y) z)
+  select s.feed, d.stat_day as day, s.observed, s.mean_score, s.suspect, s.baseline_moved, s.reasons from s join d on d.feed = s.feed and d.k = s.k"""
+
+
 def platform_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First matching platform rule of each document's page (marks are put into the pages by id)."""
     pages = query(f"with {_PAGE} select doc_id, concat(html, case doc_id % 4 when 0 then '<link href=\"/wp-content/a.css\">' when 1 then '<script src=\"/_next/static/b.js\"></script>' else '' end) as html from p")(spark, sf_dir)
@@ -73,6 +95,13 @@ def stream_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.run(streams.limited(streams.file_stream(spark, f"{sf_dir}/events.parquet"), "user_id"), "append").select("caller", "event_id", "allowed")
 
 
+#: A window opens with a caller's first event after the end of the one before; eight events of each are allowed.
+LIMITED_SQL = f"""with recursive e as (select user_id, event_id, ts, row_number() over (partition by user_id order by ts, event_id) as k from events), w(user_id, began) as (
+    select user_id, min(ts) from e group by user_id union all select user_id, nxt from (select w.user_id, (select min(e.ts) from e where e.user_id = w.user_id and e.ts >= w.began + interval {streams.WINDOW_SECONDS} second) as nxt from w) x where nxt is not null),
+  j as (select e.*, max(w.began) as began from e join w on w.user_id = e.user_id and w.began <= e.ts group by all)
+  select user_id as caller, event_id, row_number() over (partition by user_id, began order by k) <= {streams.LIMIT} as allowed from j"""
+
+
 def stream_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failures in a row per site, by stateful streaming."""
     table(spark, sf_dir, "observations")
@@ -87,4 +116,4 @@ FAILURES_SQL = """with r as (select regexp_replace(regexp_replace(lower(trim(dom
   select site, obs_id, failures, failures >= 3 as demoted from g"""
 
 QUERIES = {"corpus_records": corpus_records, "reassessed_series": reassessed_series, "platform_detection": platform_detection, "refusals": refusals, "stream_hourly": stream_hourly, "stream_limited": stream_limited, "stream_failures": stream_failures}
-ORACLE = {"corpus_records": RECORDS_SQL, "platform_detection": DETECTION_SQL, "refusals": REFUSALS_SQL, "stream_hourly": HOURLY_SQL, "stream_failures": FAILURES_SQL}
+ORACLE = {"reassessed_series": REASSESSED_SQL, "stream_limited": LIMITED_SQL, "corpus_records": RECORDS_SQL, "platform_detection": DETECTION_SQL, "refusals": REFUSALS_SQL, "stream_hourly": HOURLY_SQL, "stream_failures": FAILURES_SQL}
