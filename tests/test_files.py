@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,6 +43,52 @@ def test_replace_sorted_log_and_seal(spark, tmp_path):
     assert {r.month for r in files.read_sealed(spark, str(tmp_path), SCHEMA).select("month").distinct().collect()} <= {"2026-01", ""}
 
 
+def test_a_broken_off_replace_loses_no_table(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    old, new = spark.createDataFrame([("a", 1)], SCHEMA), spark.createDataFrame([("b", 2), ("c", 3)], SCHEMA)
+    sinks.replace(old, path)
+    real, calls = sinks._rename, []
+
+    def dies(fs, a, b):
+        calls.append(1)
+        if len(calls) == 2:
+            raise KeyboardInterrupt  # the process ends between the two renames
+        real(fs, a, b)
+
+    monkeypatch.setattr(sinks, "_rename", dies)
+    with pytest.raises(KeyboardInterrupt):
+        sinks.replace(new, path)
+    monkeypatch.setattr(sinks, "_rename", real)
+    sinks.recover(spark, path)
+    assert [r.domain for r in spark.read.parquet(path).collect()] == ["a"]
+    sinks.replace(new, path)
+    assert spark.read.parquet(path).count() == 2 and not (tmp_path / "t.old").exists()
+
+
+def test_log_is_stored_oldest_first_and_singletons_have_one_row(spark, tmp_path):
+    log = str(tmp_path / "log")
+    sinks.append_log(spark.createDataFrame([("b", 2), ("a", 1), ("d", 4), ("c", 3)], SCHEMA), log, "rank", keep=3)
+    assert [r["rank"] for r in spark.read.parquet(log).collect()] == [2, 3, 4]
+    sinks.write_one(spark.createDataFrame([("m", 1)], SCHEMA), str(tmp_path / "meta"))
+    assert spark.read.json(str(tmp_path / "meta")).count() == 1
+    with pytest.raises(ValueError):
+        sinks.write_one(spark.createDataFrame([], SCHEMA), str(tmp_path / "meta"))
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from tidemark.tables import shared_folder
+
+    def session(master, folder):
+        conf = SimpleNamespace(get=lambda *a: folder)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getConf=lambda: SimpleNamespace(get=lambda *a: None)))
+
+    assert shared_folder(session("spark://x", "/shared")) == "/shared" and shared_folder(session("local[2]", None)).endswith("tidemark-checkpoints")
+    with pytest.raises(RuntimeError):
+        shared_folder(session("spark://x", None))
+
+
 def test_guarded_upsert(spark):
     s = "day int, observed bigint, suspect boolean"
     stored = spark.createDataFrame([(1, 10, False), (2, 10, True), (3, 10, None), (4, 10, False)], s)

@@ -39,3 +39,18 @@ def test_failures_reset(spark, tmp_path):
     spark.createDataFrame([("s", i, i, u) for i, u in enumerate(ups)], "site string, obs_id bigint, at bigint, up boolean").write.parquet(path)
     got = {r.obs_id: (r.failures, r.demoted) for r in streams.run(streams.failure_counter(streams.file_stream(spark, path)), "append").collect()}
     assert [got[i] for i in range(6)] == [(0, False), (1, False), (2, False), (3, True), (0, False), (1, False)]
+
+
+def test_late_rows_are_left_out_and_sessions_close_once(spark, tmp_path):
+    """A row that comes after the watermark has passed its session is dropped; the session comes out once, without it."""
+    path = str(tmp_path / "events")
+    hour = 3600
+    for part in ([("u", 0), ("u", 600)], [("u", 20 * hour)], [("v", 21 * hour)], [("u", 700)], [("w", 40 * hour)]):
+        spark.createDataFrame(part, "user_id string, at bigint").select("user_id", F.timestamp_seconds("at").alias("ts"), F.lit(1.0).alias("value")).coalesce(1).write.mode("append").parquet(path)
+    import os
+    import time
+
+    for i, f in enumerate(sorted((x for x in os.listdir(path) if x.endswith(".parquet")), key=lambda x: os.path.getmtime(f"{path}/{x}"))):
+        os.utime(f"{path}/{f}", (time.time() - 1000 + i, time.time() - 1000 + i))
+    got = sorted((r.user_id, r.n) for r in streams.run(streams.closed_sessions(streams.file_stream(spark, path, files_per_batch=1)), "append").collect())
+    assert got == [("u", 1), ("u", 2), ("v", 1)]  # the late third row of u's first session is in none; w's is still open

@@ -29,6 +29,7 @@ TEXTS["score_fix_list"] = (
 )
 _FIX_FROM = _score_lines().split(LINES_NOW)[1]
 TEXTS["score_rescore_check"] = f"{FULL} select count(*) as n, count_if(s.total = d.score.total) as same, count_if(s.total is distinct from d.score.total) as different from scored s join (select distinct obs_id, row_id, score from @domain_rows) d on s.obs_id = d.obs_id"
+TEXTS["score_rescore_gaps"] = f"{FULL} select site, obs_id, now, stored, gap, nth from (select *, row_number() over (order by gap desc, site, obs_id, stored) as nth from (select s.site, s.obs_id, s.total as now, d.score.total as stored, abs(s.total - d.score.total) as gap from scored s join (select distinct obs_id, score from @domain_rows) d on s.obs_id = d.obs_id where s.total is not null and d.score.total is not null) x where gap > 0) y where nth <= 8"
 TEXTS["stub_and_trust"] = f"with {SITES} select site, {s.STUB} as stub, {s.IS_TRUSTED} as trusted from sites"
 TEXTS["facets"] = f"""{FULL}, roles as (select t.site, array_join(array_sort(array_distinct(collect_list(coalesce(a.agent_role, 'unknown')))), '|') as roles, count(distinct case when a.agent_role = 'assistant' then a.token end) as assistants
     from (select site, explode(t1) as token from scored) t left join @agent_registry a on lower(a.token) = t.token group by t.site),
@@ -145,11 +146,13 @@ TEXTS["band_members"] = f"{FULL} select site, total from scored where {COMPARABL
 TEXTS["entity_groups"] = f"""{FULL}, pool as (select *, row_number() over (order by total desc, site_rank asc nulls last, site) as pos from scored where {COMPARABLE}),
   branded as (select site, pos, regexp_extract(left(site, greatest(length(site) - length(suffix) - 1, 0)), '([^.]*)$', 1) as brand, coalesce(array_join(array_sort(t1), ','), '') as policy, coalesce(network, '-') as net from pool where pos <= 400),
   g as (select *, case when length(brand) < 4 then concat('@', site) else concat(brand, '|', policy, '|', net) end as k from branded)
-  select min_by(site, pos) as lead, count(*) as size, min(pos) as pos, array_join(array_sort(collect_list(site)), ',') as members from g group by k"""
+  select * from (select *, row_number() over (order by pos) as nth from (select min_by(site, pos) as lead, count(*) as size, min(pos) as pos, array_join(array_sort(collect_list(site)), ',') as members from g group by k) e) f where nth <= 100"""
 TEXTS["search_sites"] = search_sites(" https://WWW.garden/ ")
 TEXTS["search_index"] = f"{FULL} select site, coalesce(site_rank, 0) as site_rank, coalesce(total, -1) as total, coalesce(grade, '') as grade, (case when n_blocked > 0 then 1 else 0 end) + (case when {s.flag('llms_txt.present')} then 2 else 0 end) + (case when gap then 4 else 0 end) + (case when partial then 8 else 0 end) as flags from scored"
 TEXTS["report_extracts"] = f"""{FULL} select * from (select 'best' as kind, site, total, row_number() over (order by total desc, site_rank asc nulls last, site) as nth from scored where {COMPARABLE}) b where nth <= 10
-  union all select * from (select 'worst' as kind, site, total, row_number() over (order by total asc, site_rank asc nulls last, site) as nth from scored where {COMPARABLE}) w where nth <= 10"""
+  union all select * from (select 'worst' as kind, site, total, row_number() over (order by total asc, site_rank asc nulls last, site) as nth from scored where {COMPARABLE}) w where nth <= 10
+  union all select * from (select 'platform' as kind, platform as site, n as total, row_number() over (order by n desc, platform) as nth from (select platform, cast(count(total) as int) as n from scored where platform is not null group by platform) p) p where nth <= 12
+  union all select * from (select 'network' as kind, network as site, n as total, row_number() over (order by n desc, network) as nth from (select network, cast(count(total) as int) as n from scored where network is not null group by network) p) p where nth <= 10"""
 TEXTS["rebuilt_access"] = f"""with {SITES}, each as (select site, {s.distinct_lower('tier1_blocked')} as t1, {s.distinct_lower('tier2_blocked')} as t2, explode((select collect_list(token) from @agent_registry)) as token from sites)
   select site, token, not {s.flag("array_contains(t1, lower(token))")} and not {s.flag("array_contains(t2, lower(token))")} as allowed from each"""
 

@@ -25,13 +25,17 @@ WIDE = {
     "events_json": "total",
     "sessions": "session_no",
     "stream_failures": "failures",
+    "cohort_detail": "blocking_any blocking_all llms_txt",
+    "count_with_signal": "n",
+    "crawl_rows": "failures",
+    "quadrant_shares": "n",
 }
 
 
 def modules() -> list:
-    from tidemark.plans import batch, derive, extended, found_core, pipelines, reference
+    from tidemark.plans import batch, derive, extended, found_core, pipelines, reference, surface
 
-    return [found_core, reference, extended, pipelines, derive, batch]
+    return [found_core, reference, extended, pipelines, derive, batch, surface]
 
 
 def narrow(name: str, sql: str) -> str:

@@ -21,12 +21,15 @@ def _folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
-def file_stream(spark: SparkSession, path: str) -> DataFrame:
+def file_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """A stream of the parquet file or folder at ``path``, with the schema it has now.
 
-    The path is given as a pattern of itself, since a plain path must be a folder.
+    The path is given as a pattern of itself, since a plain path must be a folder. ``files_per_batch`` bounds a micro-batch, and so
+    what the state machines below hold of one key at a time: they put a key's events of one micro-batch in order of time.
     """
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    reader = reader if files_per_batch is None else reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def run(stream: DataFrame, mode: str) -> DataFrame:
@@ -41,7 +44,7 @@ def run(stream: DataFrame, mode: str) -> DataFrame:
     q = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     remove(spark, f"{folder}/state")  # nothing runs on from it
-    return spark.read.schema(stream.schema).parquet(out)
+    return spark.read.schema(stream.schema).parquet(out).select(*stream.columns)
 
 
 def hourly_counts(events: DataFrame) -> DataFrame:
@@ -50,6 +53,22 @@ def hourly_counts(events: DataFrame) -> DataFrame:
     return timed.groupBy(F.window("at", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("hour"), "event_type", "n", "total")
 
 
+def _timed(events: DataFrame) -> DataFrame:
+    return events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "2 hours")
+
+
+def closed_sessions(events: DataFrame) -> DataFrame:
+    """``user_id``, ``began``, ``ended``, ``n`` of sessions that an hour without events ends; in append mode each comes out once the watermark (two hours behind) has passed its end, and rows later than that are left out."""
+    s = _timed(events).groupBy("user_id", F.session_window("at", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    return s.select("user_id", F.col("w.start").alias("began"), F.col("w.end").alias("ended"), "n")
+
+
+def sliding_counts(events: DataFrame) -> DataFrame:
+    """``began``, ``n``, ``total`` of two-hour windows every hour; as ``closed_sessions`` for lateness."""
+    w = _timed(events).groupBy(F.window("at", "2 hours", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    return w.select(F.col("w.start").alias("began"), "n", "total")
+
+
 def limited(events: DataFrame, key: str, limit: int = LIMIT, seconds: int = WINDOW_SECONDS) -> DataFrame:
     """``key``, ``event_id``, ``allowed``: a fixed-window limiter; a window opens with the first event after the former's end.
 
