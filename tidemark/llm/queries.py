@@ -119,6 +119,12 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_pairs(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
+def p10_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, linear in the texts: which document is in which class of documents that hold one run; two with a run in common share a class."""
+    c = spans.shared_classes(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
+    return c.select(F.col("doc").alias("doc_id"), F.concat(*[F.lpad(F.hex(k), 16, "0") for k in ("k1", "k2")]).alias("class_id"))
+
+
 def p10_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each document is held elsewhere."""
     return spans.shared_amount(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text").withColumnRenamed("doc", "doc_id")
@@ -174,6 +180,6 @@ def p9_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p2_found": p2_found, "p2_days": p2_days, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_found": p9_found, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_entropy": p9_entropy,
-    "p10_found": p10_found, "p10_amount": p10_amount, "p10_spans": p10_spans,
+    "p10_found": p10_found, "p10_classes": p10_classes, "p10_amount": p10_amount, "p10_spans": p10_spans,
 }
 ORACLE = {"p1_found": P1_SQL, "p2_found": P2_SQL}
