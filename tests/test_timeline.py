@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators.asof import asof_join
-from tidemark.operators.timeline import instants, runs_of, with_previous
+from tidemark.operators.timeline import instants, runs_of, sessions, with_previous
 
 T0 = datetime(2026, 1, 1)
 
@@ -52,3 +52,17 @@ def test_asof_join_equals_brute_force(spark, seconds):
     a, b = frame(spark, left).select("k", F.col("at").alias("t"), "id"), frame(spark, right).select("k", "at", F.col("id").alias("rid"))
     got = {r.id: r.rid for r in asof_join(a, b, ["k"], "t", "at", tie="rid", carry=["rid"], bucket_seconds=seconds).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("seconds", [3600, 86_400, 10**9])
+def test_sessions_over_buckets(spark, seconds):
+    rows = data(5, 300)
+    want, last, no = {}, {}, {}
+    for k, at, *_ in sorted((x for x in rows if x[0] is not None and x[1] is not None), key=lambda x: (x[0], x[1])):
+        if k not in last or (at - last[k]).total_seconds() > 7200:
+            no[k] = no.get(k, 0) + 1
+        last[k] = at
+        n, a, _ = want.get((k, no[k]), (0, at, at))
+        want[k, no[k]] = (n + 1, a, at)
+    got = {(r.k, r.session_no): (r.n, r.began, r.ended) for r in sessions(frame(spark, rows), "k", "at", 7200, seconds).collect()}
+    assert got == want

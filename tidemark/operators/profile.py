@@ -241,7 +241,7 @@ def describe(df: DataFrame, group: Sequence[str], load: str, r: Rules, columns:
 
 def profile(df: DataFrame, group: Sequence[str], load: str, r: Rules) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(base aggregates, medians, discrimination); the first two are small and checkpointed. Rows equal in all columns count once; rows with a null load or group are left out."""
-    rows = _kept(df, group, load)
+    rows = checkpoint(_kept(df, group, load))  # told apart once, read for the aggregates, the medians and the cells
     base = checkpoint(base_aggregates(rows, group, load, r))
     long = rows.select(*group, load, F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("v")) for c in r.counts])).alias("x")).select(*group, load, "x.*")
     medians = checkpoint(exact_medians(long, [*group, load, "column_name"], "v"))

@@ -45,3 +45,21 @@ def runs_of(rows: DataFrame, key: str, ts: str, failed: Column, out: str) -> Dat
     ends = ends.withColumn("__out", F.sum("__tail").over(Window.partitionBy(key, "__since").orderBy("__b"))).select(key, "__b", F.lag("__out").over(order).alias("__in"))
     whole = F.col("__own") + F.when(F.col("__run") == 0, F.coalesce("__in", F.lit(0))).otherwise(0)
     return local.join(ends, [key, "__b"]).withColumn(out, F.when(F.col("__bad") == 1, whole).otherwise(0)).drop("__b", "__bad", "__run", "__own", "__in")
+
+
+def sessions(df: DataFrame, key: str, ts: str, gap_seconds: int, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
+    """``key``, ``session_no`` (from 1), ``n``, ``began``, ``ended``: a session ends where ``gap_seconds`` pass without a row of its key.
+
+    Rows with a null key or time are in none. A session may run over any number of buckets: each knows the last time and the number of sessions begun before it.
+    """
+    rows = df.select(key, ts).withColumn("__b", F.floor(F.unix_timestamp(ts) / bucket_seconds)).where(F.col(key).isNotNull() & F.col("__b").isNotNull())
+    seq, order = Window.partitionBy(key, "__b").orderBy(ts), Window.partitionBy(key).orderBy("__b")
+    carried = rows.groupBy(key, "__b").agg(F.max(ts).alias("__last")).select(key, "__b", F.lag("__last").over(order).alias("__before"))
+    near = F.unix_timestamp(ts) - F.unix_timestamp(F.coalesce("__prev", "__before")) <= gap_seconds
+    marked = rows.withColumn("__prev", F.lag(ts).over(seq)).join(carried, [key, "__b"]).withColumn("__starts", F.when(F.coalesce(near, F.lit(False)), 0).otherwise(1))
+    local = marked.withColumn("__own", F.sum("__starts").over(seq))  # by range: rows of one instant are in one session
+    # parts of sessions by bucket, then whole ones: one row a bucket and session is all that meets
+    parts = local.groupBy(key, "__b", "__own").agg(F.count(F.lit(1)).alias("n"), F.min(ts).alias("began"), F.max(ts).alias("ended"))
+    begun = local.groupBy(key, "__b").agg(F.sum("__starts").alias("__in")).withColumn("__past", F.sum("__in").over(order) - F.col("__in")).select(key, "__b", "__past")
+    whole = parts.join(begun, [key, "__b"]).withColumn("session_no", F.col("__past") + F.col("__own"))
+    return whole.groupBy(key, "session_no").agg(F.sum("n").alias("n"), F.min("began").alias("began"), F.max("ended").alias("ended"))

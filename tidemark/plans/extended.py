@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import html as h
 from tidemark.functions import robots
-from tidemark.operators import asof
+from tidemark.operators import asof, timeline
 from tidemark.plans.sqlkit import duck_text, query
 from tidemark.tables import table
 
@@ -222,6 +222,11 @@ def salted_skew_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SALTED_SQL = "select o.domain, count(*) as n from observations o join (select distinct domain, row_id from domain_rows) d on o.domain = d.domain group by o.domain"
 
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of every user's events, an hour's gap between them."""
+    return timeline.sessions(table(spark, sf_dir, "events"), "user_id", "ts", 3600)
+
+
 _FORMS = {"~[": ("\\\\[", "\\["), "{bands}": ("sequence(0, 9)", "range(0, 10)"), "aggregate_squares(embedding)": ("aggregate(embedding, cast(0 as double), (a, x) -> a + cast(x as double) * x)", "list_sum(list_transform(embedding, lambda x: cast(x as double) * x))")}
 QUERIES = {"structured_types": structured_types, "robots_groups": robots_groups, "robots_access": robots_access, "robots_summary": robots_summary, "robots_gate": robots_gate, "events_json": events_json, "asof_scores": asof_scores, "range_events": range_events, "approximate_aggregates": approximate_aggregates, "salted_skew_join": salted_skew_join}
 ORACLE = {**ROBOTS_SQL, "structured_types": TYPES_SQL, "events_json": "select event_type, sum(cast(json_extract(props, '$.k') as int)) as total, count(json_extract(props, '$.k')) as n from events group by event_type", "asof_scores": ASOF_SQL, "range_events": RANGE_SQL, "salted_skew_join": SALTED_SQL}
@@ -232,3 +237,4 @@ for _name, _text in TEXTS.items():
     QUERIES[_name], ORACLE[_name] = query(_a), duck_text(_b)
 _ratio = TEXTS["page_text"].replace(h.strip_to_text("html"), h.strip_to_text("html", ", 'g'"))
 ORACLE["page_text"] = duck_text(_ratio)
+QUERIES["sessions"] = sessions
