@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -101,14 +102,22 @@ def read_leaves(lines: DataFrame, feed: str, file_no: str, line_no: str, payload
     return one.mapInArrow(rows, "feed string, file_no int, line_no int, record string, path string, kind string, value string")
 
 
+@lru_cache(maxsize=1 << 16)
+def _grams(name: str) -> frozenset:
+    low = f"  {name.lower()} "
+    return frozenset(low[i : i + 3] for i in range(len(name) + 1))
+
+
+@lru_cache(maxsize=1 << 16)
 def _tokens(name: str) -> set[str]:
     return {t.lower() for t in re.findall(r"[A-Z]?[a-z]+|[A-Z]+|\d+", name)} or {name}
 
 
+@lru_cache(maxsize=1 << 18)
 def _likeness(a: str, b: str) -> float:
     """Initial similarity of two names: shared tokens and shared letter triples."""
     ta, tb = _tokens(a), _tokens(b)
-    ga, gb = ({f"  {x.lower()} "[i : i + 3] for i in range(len(x) + 1)} for x in (a, b))
+    ga, gb = _grams(a), _grams(b)
     return max(FLOOR, len(ta & tb) / len(ta | tb), len(ga & gb) / max(1, len(ga | gb)))
 
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 from json.decoder import scanstring
 
 import pyarrow as pa
@@ -141,24 +142,18 @@ def write_json(v, number: Callable[[str], str] = _as_number, sort: bool = False)
     return "".join(out)
 
 
-def _kind(v) -> str:
-    if v is None:
-        return "null"
-    if isinstance(v, bool):
-        return "boolean"
-    if isinstance(v, Number):
-        return "number"
-    return {str: "string", list: "array", dict: "object"}[type(v)]
+_KINDS = {type(None): "null", bool: "boolean", Number: "number", str: "string", list: "array", dict: "object"}
 
 
-def prefixes(paths: Sequence[str]) -> frozenset:
+@lru_cache(maxsize=64)
+def prefixes(paths: frozenset) -> frozenset:
     """The paths above (and of) ``paths``: outside of them nothing wanted can be."""
     return frozenset(x for p in paths for x in ("", *[p[:i] for i, c in enumerate(p) if c in ".["], p))
 
 
 def label_nodes(record, arrays: frozenset, texts: frozenset, wanted: frozenset | None) -> Iterator[tuple]:
     """(label, path, kind, value, element) of every wanted node of a record; of all of them, if ``wanted`` is None, objects and arrays have no value."""
-    above = None if wanted is None else prefixes(sorted(wanted))
+    above = None if wanted is None else prefixes(wanted)
     stack = [(record, "", (), False)]
     while stack:
         v, path, label, element = stack.pop()
@@ -169,7 +164,7 @@ def label_nodes(record, arrays: frozenset, texts: frozenset, wanted: frozenset |
                 pass
         if not element and path in arrays and v is not None and not isinstance(v, list):
             v = [v]
-        kind = _kind(v)
+        kind = _KINDS[type(v)]
         if wanted is None or path in wanted:
             if kind in ("array", "object"):
                 value = write_json(v) if element and wanted is not None else None
