@@ -139,3 +139,15 @@ def test_exact_medians(spark):
     data = [(k, r.choice([None, r.randint(-5, 10**6)])) for k in ("a", "b", None) for _ in range(501)] + [("c", 7)] * 4
     got = {x.k: (x.lo + x.hi) / 2 for x in exact_medians(spark.createDataFrame(data, "k string, v bigint"), ["k"], "v", bins=16).collect()}
     assert got == {k: statistics.median([v for kk, v in data if kk == k and v is not None]) for k in ("a", "b", None, "c")}
+
+
+def test_pairs_of_loads_go_on_over_batches(spark):
+    base = BASE * 6
+    moved = [(x + 30, y, f, t) for x, y, f, t in base]
+    df = frame(spark, {n: base if n % 2 else moved for n in range(1, 7)})
+    whole = sorted(map(str, profile(df, ["g"], "load", rules())[2].collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        assert sorted(map(str, profile(df, ["g"], "load", rules())[2].collect())) == whole and len(whole) == 20
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
