@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.joins import counted
 from tidemark.tables import checkpoint
 
 MIN_RUN = 200
@@ -205,8 +206,8 @@ def repeated_paths(docs: DataFrame, min_run: int) -> DataFrame:
     one_next = held.where("n0 = n1 and n0 <> 0").select(F.col("edge"), F.col("n0").alias("to"))
     one_prev = held.where("p0 = p1 and p0 <> 0").select(F.col("edge").alias("to"), F.col("p0").alias("edge"))
     links = one_next.join(one_prev, ["edge", "to"]).select("edge", F.lit(True).alias("linked"))
-    flags = held.select("edge").join(links, "edge", "left").select("edge", F.coalesce("linked", F.lit(False)).alias("linked"))
-    return edges.select("doc", "edge").distinct().join(flags, "edge").groupBy("doc").agg(F.collect_list(F.struct("edge", "linked")).alias("edges"))
+    flags = counted(checkpoint(held.select("edge").join(links, "edge", "left").select("edge", F.coalesce("linked", F.lit(False)).alias("linked"))))
+    return edges.select("doc", "edge").join(flags, "edge").groupBy("doc").agg(F.collect_set(F.struct("edge", "linked")).alias("edges"))
 
 
 def _windows(df: DataFrame, doc_id: str, text: str, min_run: int, every: bool) -> DataFrame:
@@ -225,10 +226,10 @@ def shared_classes(df: DataFrame, doc_id: str, text: str, min_run: int = MIN_RUN
     """
     windows = _windows(df, doc_id, text, min_run, False)
     held = windows.groupBy("k1", "k2").agg(
-        F.min("doc").alias("d0"), F.max("doc").alias("d1"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.sum(F.xxhash64("doc", F.lit(1)).cast("decimal(20,0)")).alias("y")
+        F.min("doc").alias("d0"), F.max("doc").alias("d1"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y")
     ).where("d0 < d1")
-    keys = held.groupBy("d0", "d1", "n", "x", "y").agg(F.min(F.struct("k1", "k2")).alias("k")).select("k.k1", "k.k2")
-    return windows.join(keys, ["k1", "k2"]).select("k1", "k2", "doc")
+    keys = checkpoint(held.groupBy("d0", "d1", "n", "x", "y").agg(F.min(F.struct("k1", "k2")).alias("k")).select("k.k1", "k.k2"))  # one row a class
+    return windows.join(counted(keys), ["k1", "k2"]).select("k1", "k2", "doc")
 
 
 def shared_pairs(df: DataFrame, doc_id: str, text: str, min_run: int = MIN_RUN) -> DataFrame:
