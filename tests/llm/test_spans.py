@@ -124,3 +124,22 @@ def test_spans_of_branching_and_periodic_texts(spark):
     rows = spans_of(spark, [(1, x), (2, x), (3, "<" + x[200:500] + ">")])
     assert {(q.doc, q.stretch_start, q.stretch_length) for q in rows} == {(1, 0, 700), (2, 0, 700), (3, 1, 300)}
     assert shared_spans(frame(spark, []), "id", "body").count() == 0
+
+
+@pytest.mark.parametrize("length, found", [(200, True), (199, False)])
+def test_runs_at_the_ends_of_texts(spark, length, found):
+    """A run of just the limit at the start, at the end or as all of a text, so that an edge in it has text on one side only."""
+    import random
+
+    r = random.Random(11)
+    noise = lambda n: "".join(r.choice("abcdefghij klmnop") for _ in range(n))
+    docs, want = [], set()
+    for i in range(40):
+        run = noise(length)
+        forms = [run + "#" + noise(300), noise(300) + "#" + run, noise(250) + "#" + run + "#" + noise(9)]
+        forms = forms[:2] if length == 199 else [*forms, run]
+        ids = [10 * i + k for k in range(len(forms))]
+        docs += zip(ids, forms)
+        want |= {(a, b) for a in ids for b in ids if a < b}
+    got = {(x.doc_id_a, x.doc_id_b) for x in shared_pairs(spark.createDataFrame(docs, "doc_id bigint, text string"), "doc_id", "text").collect()}
+    assert got == (want if found else set())

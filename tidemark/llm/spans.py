@@ -7,8 +7,9 @@ any common run of ``min_run`` code points holds a whole edge of both texts (see
 
 Compaction. Edges that two records hold are kept. An edge all of whose occurrences go on to the
 same next edge, which always comes from it, joins it in one path (found by a self-join of the edge
-table). A path that holds ``min_run`` code points is one span for all its records; of a shorter
-one every window of ``min_run`` code points around it may be shared.
+table). A run of ``min_run`` code points around an edge goes on for half of what the edge lacks, to its left or to its right;
+so edges are kept only where they agree with another record that far on one side. A path that holds ``min_run`` code points is one span
+for all its records; of a shorter one every window of ``min_run`` code points around it may be shared.
 
 Verification. Those windows are read at their coordinates in the source texts, as 128-bit hashes,
 and records meet on equal windows. Windows that are held by the same set of records are one class,
@@ -138,6 +139,24 @@ def _edge_rows(min_run: int):
     return rows
 
 
+def _side_rows(min_run: int):
+    """Each edge of each text with hashes of it and what is beside it: ``l`` to the left, ``r`` to the right (0 where the text ends before)."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, texts in _runs(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                t = _Text(texts)
+                of, a, b, h = t.edges()
+                if not len(h):
+                    continue
+                more = np.maximum(min_run - (b - a) + 1, 0) // 2
+                left, right = a - more >= t.first[of], b + more <= t.end[of]
+                sides = [np.where(ok, t.hash(np.where(ok, x, a), np.where(ok, y, b)).view(np.int64), 0) for ok, x, y in ((left, a - more, b), (right, a, b + more))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(ids, np.int64)[of]), pa.array(h), *map(pa.array, sides)], names=["doc", "edge", "l", "r"])
+
+    return rows
+
+
 def _window_starts(n: int, a: np.ndarray, b: np.ndarray, linked: np.ndarray, min_run: int, every: bool) -> np.ndarray:
     """Starts of the windows to read in a text of n code points: a, b, linked are those of its repeated edges in order."""
     if not every:
@@ -197,7 +216,10 @@ def _texts(df: DataFrame, doc_id: str, text: str, min_run: int) -> DataFrame:
 
 
 def repeated_paths(docs: DataFrame, min_run: int) -> DataFrame:
-    """Edges that two records hold: ``edge``, ``linked`` (it goes on to its one next edge within a nonbranching path)."""
+    """Edges in which a record may share a run, by record: ``doc``, ``edges``: ``edge``, ``linked`` (it goes on to its one next edge within a nonbranching path).
+
+    Two records that share a run of ``min_run`` code points both keep every edge that lies in it.
+    """
     edges = docs.mapInArrow(_edge_rows(min_run), "doc bigint, edge bigint, prev bigint, next bigint")
     held = edges.groupBy("edge").agg(
         F.min("doc").alias("d0"), F.max("doc").alias("d1"), F.min("prev").alias("p0"), F.max("prev").alias("p1"), F.min("next").alias("n0"), F.max("next").alias("n1")
@@ -207,15 +229,20 @@ def repeated_paths(docs: DataFrame, min_run: int) -> DataFrame:
     one_prev = held.where("p0 = p1 and p0 <> 0").select(F.col("edge").alias("to"), F.col("p0").alias("edge"))
     links = one_next.join(one_prev, ["edge", "to"]).select("edge", F.lit(True).alias("linked"))
     flags = counted(checkpoint(held.select("edge").join(links, "edge", "left").select("edge", F.coalesce("linked", F.lit(False)).alias("linked"))))
-    return edges.select("doc", "edge").join(flags, "edge").groupBy("doc").agg(F.collect_set(F.struct("edge", "linked")).alias("edges"))
+    near = docs.mapInArrow(_side_rows(min_run), "doc bigint, edge bigint, l bigint, r bigint").join(flags, "edge")
+    sides = checkpoint(near.select("doc", "edge", "linked", F.explode(F.array("l", "r")).alias("side")).where("side <> 0"))  # of repeated edges only
+    twice = sides.groupBy("side").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1")).where("d0 < d1").select("side")
+    return sides.join(counted(checkpoint(twice)), "side").groupBy("doc").agg(F.collect_set(F.struct("edge", "linked")).alias("edges"))
 
 
 def _windows(df: DataFrame, doc_id: str, text: str, min_run: int, every: bool) -> DataFrame:
     _check(min_run)
     docs = _texts(df, doc_id, text, min_run)
-    marked = docs.join(repeated_paths(docs, min_run), "doc").select("doc", "text", "edges")
-    rows = marked.mapInArrow(_window_rows(min_run, every), "k1 bigint, k2 bigint, doc bigint" + ", pos bigint" * every)
-    return checkpoint(rows)  # of repeated stretches only; read twice
+    marks = checkpoint(repeated_paths(docs, min_run))
+    # only texts that may share a run are shuffled
+    few = docs.join(counted(marks.select("doc")), "doc", "left_semi")
+    rows = few.join(marks, "doc").select("doc", "text", "edges").mapInArrow(_window_rows(min_run, every), "k1 bigint, k2 bigint, doc bigint" + ", pos bigint" * every)
+    return checkpoint(rows)  # of those stretches only; read twice
 
 
 def shared_classes(df: DataFrame, doc_id: str, text: str, min_run: int = MIN_RUN) -> DataFrame:
