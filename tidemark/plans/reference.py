@@ -112,7 +112,7 @@ TEXTS["cohort_medians"] = f"{FULL} select platform, count(*) as n, floor(median(
 TEXTS["index_median"] = f"{FULL} select floor(median(total) * 10 + 0.5) / 10 as median_score, count(*) as n from scored where {COMPARABLE}"
 TEXTS["peer_delta"] = f"""{FULL}, p as (select platform, floor(median(total) * 10 + 0.5) / 10 as platform_median from scored where {COMPARABLE} and platform is not null group by platform having count(*) >= {MIN_COHORT}),
   w as (select network, floor(median(total) * 10 + 0.5) / 10 as network_median from scored where {COMPARABLE} and network is not null group by network having count(*) >= {MIN_COHORT})
-  select site, total, platform_median, network_median, floor((total - platform_median) * 10 + 0.5) / 10 as platform_delta, floor((total - network_median) * 10 + 0.5) / 10 as network_delta,
+  select site, total, platform_median, network_median, (select floor(median(total) * 10 + 0.5) / 10 from scored where {COMPARABLE}) as index_median, floor((total - platform_median) * 10 + 0.5) / 10 as platform_delta, floor((total - network_median) * 10 + 0.5) / 10 as network_delta,
   coalesce(total < platform_median, false) or coalesce(total < network_median, false) as behind_any from scored s left join p on s.platform = p.platform left join w on s.network = w.network where {COMPARABLE}"""
 TEXTS["facet_counts"] = f"{FULL} select posture, count(*) as n from scored where total is not null group by posture"
 TEXTS["stack_counts"] = f"{FULL} select 'platform' as kind, platform as id, count(*) as n, count_if(n_blocked > 0) as blocking from scored where total is not null and platform is not null group by platform union all select 'network', network, count(*), count_if(n_blocked > 0) from scored where total is not null and network is not null group by network"
@@ -247,17 +247,18 @@ QUERIES, ORACLE = {}, {}
 
 
 def peer_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each comparable site against the medians of its platform and its network, where those have enough sites."""
+    """Each comparable site against the medians of its platform and its network, where those have enough sites, and of all."""
     rows = sites.scored_sites(spark, sf_dir).where(COMPARABLE).select("site", "total", "platform", "network")
 
     def median_of(key: str) -> DataFrame:
         mid = F.floor(F.median("total") * 10 + 0.5) / 10
         return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"), mid.alias(f"{key}_median")).where(F.col("n") >= MIN_COHORT).drop("n")
 
-    both = rows.join(median_of("platform"), "platform", "left").join(median_of("network"), "network", "left")
+    index = rows.agg(F.floor(F.median("total") * 10 + 0.5) / 10).scalar()
+    both = rows.withColumn("index_median", index).join(median_of("platform"), "platform", "left").join(median_of("network"), "network", "left")
     delta = lambda k: (F.floor((F.col("total") - F.col(f"{k}_median")) * 10 + 0.5) / 10).alias(f"{k}_delta")
     behind = F.coalesce(F.col("total") < F.col("platform_median"), F.lit(False)) | F.coalesce(F.col("total") < F.col("network_median"), F.lit(False))
-    return both.select("site", "total", "platform_median", "network_median", delta("platform"), delta("network"), behind.alias("behind_any"))
+    return both.select("site", "total", "platform_median", "network_median", "index_median", delta("platform"), delta("network"), behind.alias("behind_any"))
 
 #: Texts over parts that Spark has better forms of.
 _SHARED = ((FULL, "with scored as (select * from @scored_sites)"), (TEXTS["change_events"], "select * from @change_events"))

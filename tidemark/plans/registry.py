@@ -33,9 +33,9 @@ WIDE = {
 
 
 def modules() -> list:
-    from tidemark.plans import batch, derive, extended, found_core, pipelines, reference, surface
+    from tidemark.plans import batch, derive, extended, found_core, pipelines, reference, storage, surface
 
-    return [found_core, reference, extended, pipelines, derive, batch, surface]
+    return [found_core, reference, extended, pipelines, derive, batch, surface, storage]
 
 
 def narrow(name: str, sql: str) -> str:

@@ -39,9 +39,9 @@ def read_ranked(spark: SparkSession, path: str, keep, count: int) -> DataFrame:
 
 
 def read_sealed(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
-    """Sealed month reports of a folder with their ``month``; files of other names are ignored, invalid ones give no row."""
+    """Sealed month reports of a folder with their ``month``: a document each, as a file or as ``seal`` writes it; files of other names are ignored, invalid ones give no row."""
     path = f"{folder}/[0-9][0-9][0-9][0-9]-[0-9][0-9].json"
     if not exists(spark, path):
         return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("month", T.StringType())]))
     rows = spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
-    return rows.withColumn("month", F.regexp_extract(F.input_file_name(), r"(\d{4}-\d{2})\.json$", 1))
+    return rows.withColumn("month", F.regexp_extract(F.input_file_name(), r"(\d{4}-\d{2})\.json(?:/[^/]*)?$", 1))

@@ -96,3 +96,15 @@ def seal(df: DataFrame, path: str) -> bool:
         return False
     df.write.mode("errorifexists").json(path)
     return True
+
+
+def publish(spark: SparkSession, folder: str, target: str) -> None:
+    """Copies a folder's files to ``target``, without those that a write in progress left (``*.tmp``, ``*.stage-*``, ``*.old``)."""
+    fs, root = _fs(spark, folder)
+    util, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil, spark.sparkContext._jsc.hadoopConfiguration()
+    to, there = _fs(spark, target)
+    to.mkdirs(there)
+    for f in fs.listStatus(root):
+        name = f.getPath().getName()
+        if not (name.endswith((".tmp", ".old")) or ".stage-" in name):
+            util.copy(fs, f.getPath(), to, _fs(spark, f"{target}/{name}")[1], False, True, conf)
