@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators.asof import asof_join
-from tidemark.operators.timeline import instants, runs_of, sessions, with_previous
+from tidemark.operators.timeline import instants, runs_of, sessions, spaced, with_previous
 
 T0 = datetime(2026, 1, 1)
 
@@ -66,3 +66,14 @@ def test_sessions_over_buckets(spark, seconds):
         want[k, no[k]] = (n + 1, a, at)
     got = {(r.k, r.session_no): (r.n, r.began, r.ended) for r in sessions(frame(spark, rows), "k", "at", 7200, seconds).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("bucket", [10, 100, 10**6])
+def test_spaced_requests(spark, bucket):
+    r = random.Random(9)
+    rows = [(r.choice(["hot", "hot", "a", None]), r.choice([None, *range(0, 900, 3)]), i) for i in range(300)]
+    want, last = {}, {}
+    for k, at, i in sorted((x for x in rows if None not in x), key=lambda x: (x[0], x[1], x[2])):
+        last[k] = want[i] = max(at, last[k] + 7) if k in last else at
+    got = {x.id: x.start for x in spaced(spark.createDataFrame(rows, "k string, at bigint, id int"), "k", "at", "id", 7, bucket).collect()}
+    assert got == want

@@ -63,3 +63,20 @@ def sessions(df: DataFrame, key: str, ts: str, gap_seconds: int, bucket_seconds:
     begun = local.groupBy(key, "__b").agg(F.sum("__starts").alias("__in")).withColumn("__past", F.sum("__in").over(order) - F.col("__in")).select(key, "__b", "__past")
     whole = parts.join(begun, [key, "__b"]).withColumn("session_no", F.col("__past") + F.col("__own"))
     return whole.groupBy(key, "session_no").agg(F.sum("n").alias("n"), F.min("began").alias("began"), F.max("ended").alias("ended"))
+
+
+def spaced(df: DataFrame, key: str, at: str, tie: str, gap: int, bucket: int) -> DataFrame:
+    """``df`` with ``start``: when each request may go so that those of a key go in order, each ``gap`` after the one before at least.
+
+    ``at``: when it was wanted, a whole number in the unit of ``gap`` and ``bucket``. The n-th request starts at the greatest of
+    ``at - gap * n`` over the requests so far, plus ``gap * n``; greatest and count are carried from bucket to bucket. Rows with a null key or time are left out.
+    """
+    rows = df.withColumn("__b", F.floor(F.col(at) / bucket)).where(F.col(key).isNotNull() & F.col("__b").isNotNull())
+    seq, order = Window.partitionBy(key, "__b").orderBy(at, tie), Window.partitionBy(key).orderBy("__b")
+    local = rows.withColumn("__n", F.row_number().over(seq)).withColumn("__slack", F.col(at) - F.col("__n") * gap)
+    local = local.withColumn("__own", F.max("__slack").over(seq.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = local.groupBy(key, "__b").agg(F.max("__n").alias("__c"), F.max("__slack").alias("__m"))
+    ends = ends.withColumn("__past", F.sum("__c").over(order) - F.col("__c")).withColumn("__carried", F.max(F.col("__m") - F.col("__past") * gap).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    out = local.join(ends.select(key, "__b", "__past", "__carried"), [key, "__b"])
+    start = F.greatest(F.col("__own") - F.col("__past") * gap, F.col("__carried")) + (F.col("__n") + F.col("__past")) * gap
+    return out.withColumn("start", start).drop("__b", "__n", "__slack", "__own", "__past", "__carried")

@@ -7,13 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import normal
-from tidemark.operators import joins
+from tidemark.functions import scoring as s
+from tidemark.operators import joins, timeline
 from tidemark.plans import pipelines
 from tidemark.plans.batch import ORACLE as BATCH_SQL
 from tidemark.plans.batch import daily_record
 from tidemark.plans.reference import ORACLE as SITE_SQL
 from tidemark.plans.sqlkit import duck_text, query
-from tidemark.plans.texts import _NORMAL
+from tidemark.plans.texts import FULL, _NORMAL
 from tidemark.streaming import streams
 from tidemark.tables import table
 
@@ -97,6 +98,23 @@ def _by_segment(j: DataFrame) -> DataFrame:
     return j.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total"))
 
 
+#: Least milliseconds between two requests to one host.
+POLITE_MS = 1200
+
+
+def polite_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When each probe of a host may start so that the host is left alone for POLITE_MS between two. The wanted times are the observations' times of day, so that they crowd."""
+    o = table(spark, sf_dir, "observations").where("domain is not null and observed_at is not null").select("obs_id", normal.normal_domain(F.col("domain")).alias("host"), (F.unix_millis("observed_at") % 3_600_000).alias("wanted")).distinct()
+    return timeline.spaced(o, "host", "wanted", "obs_id", POLITE_MS, 600_000).select("obs_id", "host", "wanted", "start")
+
+
+POLITE_SQL = f"""with o as (select distinct obs_id, {_NORMAL} as host, epoch_ms(observed_at) % 3600000 as wanted from observations where domain is not null and observed_at is not null), n as (select *, row_number() over (partition by host order by wanted, obs_id) as n from o)
+  select obs_id, host, wanted, max(wanted - n * {POLITE_MS}) over (partition by host order by wanted, obs_id rows unbounded preceding) + n * {POLITE_MS} as start from n"""
+
+ERRORS = "select kind, count(*) as n from (select case when error is null then 'none' when regexp_like(lower(error), 'timeout|timed out|abort') then 'timeout' when regexp_like(lower(error), 'dns|enotfound|not found') then 'dns' when regexp_like(lower(error), 'reset|refused|closed') then 'connection' when regexp_like(lower(error), 'tls|cert|ssl') then 'tls' else 'other' end as kind from @observations) e group by kind"
+SENTENCES = f"{FULL} select site, concat(site, case when total is null then ' could not be scored' else concat(' scores ', cast(total as string), ' of 100 (', grade, ')') end, case when n_blocked = 0 then ', lets every answer agent in' when n_blocked >= {s.TIER1_TOKENS} then ', keeps every answer agent out' else concat(', keeps ', cast(n_blocked as string), ' of {s.TIER1_TOKENS} answer agents out') end, '.') as sentence from scored"
+
+
 def join_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sort-merge join by hint."""
     o, c = _orders(spark, sf_dir)
@@ -173,11 +191,13 @@ SLIDING_SQL = """with w as (select date_trunc('hour', ts) - (interval 1 hour) *
 _CHANGES = "select site, observed_at, kind from @change_events"
 QUERIES = {
     "normalised_hosts": normalised_hosts, "submissions": submissions, "record_findings": record_findings, "series_state": series_state, "series_points": query(SERIES_POINTS), "escaped_texts": query(ESCAPED), "sitemap": query(SITEMAP),
+    "polite_schedule": polite_schedule, "fetch_errors": query(ERRORS), "site_sentences": query(SENTENCES.replace(FULL, "with scored as (select * from @scored_sites)"), views=pipelines.sites.VIEWS),
     "join_merge": join_merge, "join_hash": join_hash, "join_sized": join_sized, "udaf_geometric_mean": udaf_geometric_mean, "udtf_name_parts": udtf_name_parts, "stream_sessions": stream_sessions, "stream_sliding": stream_sliding,
     "crawl_summary": query(SUMMARY.replace("{changes}", _CHANGES), views={"change_events": pipelines.sites.change_events}),
 }
 ORACLE = {
     "normalised_hosts": HOSTS_SQL, "submissions": SUBMISSIONS_SQL, "record_findings": FINDINGS_SQL, "series_state": STATE_SQL, "series_points": duck_text(SERIES_POINTS), "escaped_texts": duck_text(ESCAPED), "sitemap": duck_text(SITEMAP),
+    "polite_schedule": POLITE_SQL, "fetch_errors": duck_text(ERRORS), "site_sentences": duck_text(SENTENCES),
     "join_merge": SEGMENT_SQL, "join_hash": SEGMENT_SQL, "join_sized": SEGMENT_SQL, "udaf_geometric_mean": UDAF_SQL, "udtf_name_parts": UDTF_SQL, "stream_sessions": SESSIONS_SQL, "stream_sliding": SLIDING_SQL,
     "crawl_summary": duck_text(SUMMARY.replace("{changes}", SITE_SQL["change_events"])),
 }
