@@ -83,3 +83,13 @@ def test_coins_alternate_and_bytes_keep_the_bound():
     again = ReqSketch.from_bytes(s.to_bytes())
     assert again.rank_error() == s.rank_error() > 0 and again.rank_error(0.999) == s.rank_error(0.999) < s.rank_error(0.5)
     assert set(s.coins.values()) <= {0, 1} and again.quantile(0.9) == s.quantile(0.9)
+
+
+def test_many_group_columns_of_many_values(spark):
+    cols = [f"((id * {7 * i + 3}) % 997) as g{i}" for i in range(8)]
+    df = spark.range(4000).selectExpr(*cols, "cast(id as double) as v")
+    names = [f"g{i}" for i in range(8)]
+    got = merge_sketches(build_sketches(df, names, "v"), names)
+    want = {tuple(r)[:-1]: r[-1] for r in df.groupBy(*names).count().collect()}
+    assert {tuple(r[n] for n in names): r.n for r in got.collect()} == want and len(want) == 997
+    assert build_sketches(df, [], "v").agg({"n": "sum"}).first()[0] == 4000

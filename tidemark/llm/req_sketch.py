@@ -157,22 +157,14 @@ class ReqSketch:
 def _codes(batch: pa.RecordBatch, groups: int) -> tuple[np.ndarray, list[tuple]]:
     """A group number for each row and the groups' keys (columns 0 to groups-1)."""
     code = np.zeros(batch.num_rows, np.int64)
-    dicts = []
     for i in range(groups):
         d = batch.column(i).dictionary_encode()
-        values = [*d.dictionary.to_pylist(), None]
-        idx = d.indices.fill_null(len(values) - 1).to_numpy(zero_copy_only=False)
-        code = code * len(values) + idx
-        dicts.append(values)
-    uniq, inv = np.unique(code, return_inverse=True)
-    keys = []
-    for u in uniq:
-        key = []
-        for values in reversed(dicts):
-            u, r = divmod(int(u), len(values))
-            key.append(values[r])
-        keys.append(tuple(reversed(key)))
-    return inv, keys
+        n = len(d.dictionary) + 1
+        # numbered anew after each column, so that many columns of many values don't overflow
+        code = np.unique(code * n + d.indices.fill_null(n - 1).to_numpy(zero_copy_only=False), return_inverse=True)[1]
+    first = pa.array(np.unique(code, return_index=True)[1])
+    keys = list(zip(*[batch.column(i).take(first).to_pylist() for i in range(groups)])) if groups else [()] * len(first)
+    return code, keys
 
 
 def build_sketches(df: DataFrame, group: Sequence[str], value: str, *, k: int = SECTION, high: bool = True, pending_rows: int = PENDING, held_bytes: int = HELD_BYTES) -> DataFrame:
