@@ -17,7 +17,8 @@ def scored_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest observation of every site with its scores and facets, checkpointed on first use.
 
     The latest row of a site is picked first (a map task sends one row a site), and only that is scored. The result is kept for the
-    session and the tables as they are: a table written anew is read anew. ``reset_sites`` forgets it.
+    session and the tables as they are: a table written anew is read anew (by size and time of the files directly in it; after changes
+    deeper in a partitioned table call ``reset_sites``, which forgets all).
     """
     key = (spark.sparkContext.applicationId, sf_dir, *[stamp(spark, f"{sf_dir}/{n}.parquet") for n in ("observations", "domain_rows")])
     if key not in _held:
