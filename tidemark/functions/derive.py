@@ -121,7 +121,7 @@ def robots_of(responses: DataFrame, registry: DataFrame, probe: str) -> DataFram
     per = groups.groupBy("doc_id").agg(
         F.count(F.lit(1)).cast("int").alias("groups"), F.max(F.exists("allow", lambda x: x != "")).alias("allows"), first_star.alias("star"), F.array_distinct(F.flatten(F.collect_list(agents))).alias("names")
     )
-    known = registry.where("token is not null").agg(F.array_sort(F.collect_list(F.struct("registry_order", "token", "tier")))).scalar()
+    known = registry.where("token is not null").dropDuplicates(["token"]).agg(F.array_sort(F.collect_list(F.struct("registry_order", "token", "tier")))).scalar()
     d = docs.join(per.withColumnRenamed("doc_id", "id"), "id", "left").join(robots.verdicts(groups).withColumnRenamed("doc_id", "id"), "id", "left").withColumn("known", known)
     v = F.col("verdicts")
     pick = lambda cond: F.transform(F.filter("known", cond), lambda t: t["token"])

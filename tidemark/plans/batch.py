@@ -30,7 +30,7 @@ def daily_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     Maps are texts ``key=count`` (``key=count/blocking`` for the stack) in the order of the key, of the registry for tokens, which are
     zero-filled like the ten bands. Signals are null where no record of the day looked for them.
     """
-    reg = table(spark, sf_dir, "agent_registry").where("token is not null")
+    reg = table(spark, sf_dir, "agent_registry").where("token is not null").dropDuplicates(["token"])
     roles = reg.agg(F.map_from_entries(F.collect_list(F.struct(F.lower("token"), "agent_role")))).scalar()
     known = reg.agg(F.transform(F.array_sort(F.collect_list(F.struct("registry_order", "token"))), lambda t: t["token"])).scalar()
     assistants = reg.where("tier = 1 and agent_role = 'assistant'").agg(F.count(F.lit(1))).scalar()

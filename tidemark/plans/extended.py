@@ -21,7 +21,7 @@ _ROBOTS = "lower(trim(source)) = 'robots_txt' and text is not null"
 
 
 def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where(_ROBOTS)
+    docs = table(spark, sf_dir, "documents").where(_ROBOTS).select("doc_id", "text").distinct()
     return robots.rule_groups(robots.rule_lines(docs, "doc_id", "text"))
 
 
@@ -52,7 +52,7 @@ def robots_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = g.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("groups"), F.max(F.exists("allow", lambda x: x != "")).alias("uses_allow"), F.coalesce(star, F.lit(False)).alias("star_root"), F.array_distinct(F.flatten(F.collect_list(agents))).alias("names")
     )
-    reg = table(spark, sf_dir, "agent_registry").where("token is not null")
+    reg = table(spark, sf_dir, "agent_registry").where("token is not null").dropDuplicates(["token"])
     known = reg.agg(F.array_sort(F.collect_list(F.struct("registry_order", "token", "tier")))).scalar()
     d = _robots_docs(spark, sf_dir).join(per, "doc_id", "left").join(robots.verdicts(g), "doc_id", "left").withColumn("known", known)
     pick = lambda cond: F.array_join(F.transform(F.filter("known", cond), lambda t: t["token"]), ",")

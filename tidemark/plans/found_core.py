@@ -34,8 +34,9 @@ def p3_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _policy_log(spark, sf_dir)
     cut = F.lit(MERGE_CUT).cast("timestamp")
     how = {"keys": ["domain", "vantage"], "ts": "observed_at", "attr_hash": F.col("tokens_hash"), "latest_by": ["ingested_at", "obs_id"]}
-    stored = checkpoint(version_history(log.where(F.col("ingested_at") < cut), **how))  # a stored table: the merge reads it several times
-    return _periods(merge_history(stored, log.where(F.col("ingested_at") >= cut), log, **how))
+    early = F.coalesce(F.col("ingested_at") < cut, F.lit(False))  # rows without a time of ingestion come with the batch
+    stored = checkpoint(version_history(log.where(early), **how))  # a stored table: the merge reads it several times
+    return _periods(merge_history(stored, log.where(~early), log, **how))
 
 
 _DOMAIN = "regexp_replace(regexp_replace(lower(trim(domain)), '\\.$', ''), '^www\\.', '')"

@@ -65,6 +65,8 @@ def stored_log(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
     d = table(spark, sf_dir, "domain_rows").select("row_id", "vantage", "scored_at").where("vantage is not null and scored_at is not null").distinct()
     for v in [r.vantage for r in d.select("vantage").distinct().orderBy("vantage").collect()]:  # a handful of vantages, each one append
         sinks.append_log(d.where(F.col("vantage") == v).select("scored_at", "row_id", "vantage"), f"{folder}/log", "scored_at", LOG_ROWS)
+    if not files.exists(spark, f"{folder}/log"):
+        return d.select("scored_at", "row_id", "vantage", F.lit(0).alias("place")).limit(0)
     # the log is stored in order, oldest first
     return spark.read.parquet(f"{folder}/log").coalesce(1).withColumn("place", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())))
 

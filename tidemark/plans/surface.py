@@ -157,7 +157,7 @@ class NameParts:
     """A table function of one's own: the words of a name with their places."""
 
     def eval(self, name: str):
-        for i, part in enumerate((name or "").split(" ")):
+        for i, part in enumerate(name.split(" ") if name is not None else ()):
             yield i, part
 
 

@@ -72,7 +72,7 @@ def sliding_counts(events: DataFrame) -> DataFrame:
 def limited(events: DataFrame, key: str, limit: int = LIMIT, seconds: int = WINDOW_SECONDS) -> DataFrame:
     """``key``, ``event_id``, ``allowed``: a fixed-window limiter; a window opens with the first event after the former's end.
 
-    State is (window end, events so far). Within a micro-batch a key's events are taken in order of time.
+    State is (window end, events so far). Within a micro-batch a key's events are taken in order of time. Events without a key or a time get no verdict.
     """
 
     def step(k: tuple, chunks: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -87,7 +87,7 @@ def limited(events: DataFrame, key: str, limit: int = LIMIT, seconds: int = WIND
         state.update((int(end), int(count)))
         yield pd.DataFrame({"caller": p["caller"].to_numpy(), "event_id": p["event_id"].to_numpy(), "allowed": verdicts})
 
-    slim = events.select(F.col(key).cast("bigint").alias("caller"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    slim = events.select(F.col(key).cast("bigint").alias("caller"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at")).where("caller is not null and at is not null")
     return slim.groupBy("caller").applyInPandasWithState(step, "caller bigint, event_id bigint, allowed boolean", "until bigint, n int", "append", "NoTimeout")
 
 
