@@ -29,3 +29,12 @@ def spark():
 @pytest.fixture(scope="session")
 def small():
     return "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="session")
+def empty(spark, small, tmp_path_factory):
+    """The test tables without rows."""
+    folder = tmp_path_factory.mktemp("empty")
+    for f in os.listdir(small):
+        spark.read.parquet(f"{small}/{f}").limit(0).coalesce(1).write.parquet(f"{folder}/{f}")
+    return str(folder)

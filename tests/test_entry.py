@@ -109,3 +109,8 @@ def test_the_subpackage_is_left_out_only_where_it_is_not_there(monkeypatch):
 
 def test_entry(spark):
     assert entry.entry(spark).limit(1).count() == 1
+
+
+@pytest.mark.parametrize("name", sorted(n for m in registry.modules() for n in m.QUERIES if n[0] == "p" and n[1].isdigit()))
+def test_empty_tables_give_nothing(spark, empty, name):
+    assert entry.queries()[name](spark, empty).collect() == []
