@@ -67,3 +67,8 @@ def test_every_query_is_checked():
 @pytest.mark.parametrize("name", sorted(FACTS))
 def test_facts(spark, small, name):
     FACTS[name](entry.queries()[name](spark, small).collect())
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_empty_tables_give_nothing(spark, empty, name):
+    assert entry.queries()[name](spark, empty).collect() == []
