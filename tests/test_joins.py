@@ -48,3 +48,37 @@ def test_scored_sites_are_kept_until_the_tables_change(spark, small, tmp_path):
     b = sites.scored_sites(spark, str(tmp_path))
     sites.reset_sites()
     assert sites.scored_sites(spark, str(tmp_path)) is not b
+
+
+def joined_rows(df):
+    """Rows that come out of the sort merge joins of the plan that ran."""
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "SortMergeJoinExec":
+            found.append(node.metrics().apply("numOutputRows").value())
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def test_copies_of_a_salted_join_are_not_broadcast(spark, small):
+    df = entry.queries()["salted_skew_join"](spark, small)
+    df.collect()
+    assert "SortMergeJoin" in plan(df) and "Broadcast" not in plan(df)
+
+
+def test_salted_skew_join_makes_no_pairs_of_a_hot_domain(spark, tmp_path):
+    o = spark.range(300).selectExpr("if(id < 200, 'hot', if(id < 290, concat('d', id % 9), null)) as domain", "id as obs_id")
+    d = spark.range(120).selectExpr("if(id < 100, 'hot', if(id < 110, 'd1', if(id < 115, 'alone', null))) as domain", "if(id % 10 = 3, null, id) as row_id")
+    o.unionByName(o.where("obs_id in (5, 201)")).write.parquet(f"{tmp_path}/observations.parquet")
+    d.unionByName(d.where("row_id < 50")).write.parquet(f"{tmp_path}/domain_rows.parquet")
+    df = entry.queries()["salted_skew_join"](spark, str(tmp_path))
+    # repeated observations count, repeated domain rows don't; the rows without a row_id are one
+    ones = spark.read.parquet(f"{tmp_path}/observations.parquet").where("domain = 'd1'").count()
+    assert {r.domain: r.n for r in df.collect()} == {"hot": 201 * 91, "d1": ones * 10}
+    assert joined_rows(df) == [201 + ones]

@@ -50,7 +50,10 @@ def count_before(left: DataFrame, right: DataFrame, row_id: str, keys: Sequence[
 
 
 def salted_join(big: DataFrame, small: DataFrame, key: str, salts: int) -> DataFrame:
-    """Inner join on ``key`` with big rows spread over ``salts`` copies of the small side."""
+    """Inner join on ``key`` with big rows spread over ``salts`` copies of the small side, by sorting both sides.
+
+    The optimizer's estimate leaves the copies out, so without the hint it may broadcast ``salts`` times what it takes for small.
+    """
     a = big.withColumn("__salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
     b = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return a.join(b, [key, "__salt"]).drop("__salt")
+    return a.join(b.hint("merge"), [key, "__salt"]).drop("__salt")
